@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 CATEGORY_COLUMNS = ("Departamento", "Municipio", "Programa")
 
 
+def money_cents(col: str):
+    """Money as whole cents (exact integer sums at any scale)."""
+    return F.round(F.col(col) * F.lit(100.0)).cast("long")
+
+
+def exact_money_mean(col: str):
+    """Mean of a money column summed exactly in cents, then divided once."""
+    return F.sum(money_cents(col)).cast("double") / F.count(F.col(col)) / F.lit(100.0)
+
+
 def municipality_stats(apps: DataFrame, key: str = "Municipio") -> DataFrame:
     """A1: mean approval, mean households and record count per municipality."""
     return (apps.where(F.col(key).isNotNull()).groupBy(key)
@@ -84,7 +94,7 @@ def municipality_profile(apps: DataFrame, key: str = "Municipio") -> DataFrame:
     return (apps.where(F.col(key).isNotNull()).groupBy(key)
             .agg(F.avg("Aprobado").alias("tasa"),
                  F.avg("Hogares").alias("hh_mean"),
-                 F.avg("Valor_Num").alias("val_mean"),
+                 exact_money_mean("Valor_Num").alias("val_mean"),
                  F.count(F.lit(1)).alias("n_reg"),
                  F.countDistinct("Programa").alias("n_prog")))
 

@@ -79,3 +79,339 @@ def q_program_stats(spark, sf_dir):
 def q_dataset_kpis(spark, sf_dir):
     """A3."""
     return stats.dataset_kpis(_apps(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- A4-A11
+from grantlens.functions import bands  # noqa: E402
+from grantlens.operators import (clustering, evaluation, features, reporting,  # noqa: E402
+                                 scoring, text, timeseries, validation, vectors)
+
+
+@query("category_lists")
+def q_category_lists(spark, sf_dir):
+    """A4."""
+    return stats.category_lists(_apps(spark, sf_dir)).withColumn(
+        "position", F.col("position").cast("long"))
+
+
+@query("dataset_bounds")
+def q_dataset_bounds(spark, sf_dir):
+    """A5."""
+    return stats.dataset_bounds(_apps(spark, sf_dir))
+
+
+@query("municipalities_by_department")
+def q_municipalities_by_department(spark, sf_dir):
+    """A6 (exploded rows)."""
+    return stats.municipalities_by_department(_apps(spark, sf_dir)).withColumn(
+        "position", F.col("position").cast("long"))
+
+
+@query("municipality_profile")
+def q_municipality_profile(spark, sf_dir):
+    """A7."""
+    return stats.municipality_profile(_apps(spark, sf_dir))
+
+
+@query("headline_kpis")
+def q_headline_kpis(spark, sf_dir):
+    """A8 (money sums at cent precision)."""
+    k = reporting.headline_kpis(_apps(spark, sf_dir))
+    return (k.withColumn("valor_total", F.round("valor_total", 2))
+            .withColumn("valor_perdido", F.round("valor_perdido", 2)))
+
+
+@query("yearly_trend")
+def q_yearly_trend(spark, sf_dir):
+    """A9."""
+    return reporting.yearly_trend(_apps(spark, sf_dir))
+
+
+@query("state_distribution")
+def q_state_distribution(spark, sf_dir):
+    """A10 / P12."""
+    return reporting.state_distribution(_apps(spark, sf_dir))
+
+
+@query("dataset_metadata")
+def q_dataset_metadata(spark, sf_dir):
+    """A11."""
+    return reporting.dataset_metadata(_apps(spark, sf_dir)).withColumn(
+        "position", F.col("position").cast("long"))
+
+
+@query("policy_reward")
+def q_policy_reward(spark, sf_dir):
+    """P13 on each municipality's approval rate."""
+    p = stats.municipality_profile(_apps(spark, sf_dir))
+    return p.select("Municipio", "tasa", bands.policy_reward("tasa").alias("reward"),
+                    bands.policy_decision("tasa").alias("decision"))
+
+
+# ---------------------------------------------------------------- E*, J1-J3
+@query("label_encode")
+def q_label_encode(spark, sf_dir):
+    """E1."""
+    return features.label_encode(_apps(spark, sf_dir)).withColumn(
+        "code", F.col("code").cast("long"))
+
+
+@query("training_matrix")
+def q_training_matrix(spark, sf_dir):
+    """J1, J2, E1, E3, P8."""
+    return features.training_matrix(_apps(spark, sf_dir))
+
+
+def _split_matrix(spark, sf_dir):
+    return features.stratified_split(features.training_matrix(_apps(spark, sf_dir)))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    """E7."""
+    return _split_matrix(spark, sf_dir).select("app_id", "Aprobado", "split")
+
+
+@query("minmax_scaled")
+def q_minmax_scaled(spark, sf_dir):
+    """Fit on train, apply to all rows."""
+    s = _split_matrix(spark, sf_dir)
+    bounds = features.minmax_fit(s.where(F.col("split") == "train"))
+    return features.minmax_apply(s.select("app_id", "split", *features.FEATURES), bounds)
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    """E8 on the training split."""
+    s = _split_matrix(spark, sf_dir)
+    return features.class_weights(s.where(F.col("split") == "train"))
+
+
+@query("prior_history")
+def q_prior_history(spark, sf_dir):
+    """E9."""
+    return stats.prior_history(_apps(spark, sf_dir))
+
+
+def _profile_n(spark, sf_dir):
+    return features.profile_normalized(stats.municipality_profile(_apps(spark, sf_dir)))
+
+
+@query("profile_normalized")
+def q_profile_normalized(spark, sf_dir):
+    """E5."""
+    return _profile_n(spark, sf_dir).select("Municipio", "tasa", "hh_mean_n", "val_mean_n",
+                                            "n_reg_n", "n_prog")
+
+
+@query("profile_standardized")
+def q_profile_standardized(spark, sf_dir):
+    """E6."""
+    return features.profile_standardized(_profile_n(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- validation / scoring
+def _validated(spark, sf_dir):
+    apps = _apps(spark, sf_dir)
+    b = stats.dataset_bounds(apps).first()
+    return validation.validate_requests(tables.requests_from_orders(spark, sf_dir), apps,
+                                        int(b["anio_min"]), int(b["anio_max"]))
+
+
+@query("validate_requests")
+def q_validate_requests(spark, sf_dir):
+    """J6 + P14: first failing check per request (NULL = valid)."""
+    return _validated(spark, sf_dir).select("req_id", "error")
+
+
+@query("rejected_requests")
+def q_rejected_requests(spark, sf_dir):
+    """J6 reject set."""
+    return validation.rejected(_validated(spark, sf_dir))
+
+
+@query("accepted_requests")
+def q_accepted_requests(spark, sf_dir):
+    """J6 accept set."""
+    return validation.accepted(_validated(spark, sf_dir)).select(
+        "req_id", "departamento", "municipio", "programa", "anio", "hogares", "valor_cop",
+        "modelo")
+
+
+@query("serving_features")
+def q_serving_features(spark, sf_dir):
+    """J3, E2, P7 for every request (unseen categories -> code 0)."""
+    apps = _apps(spark, sf_dir)
+    return features.serving_features(tables.requests_from_orders(spark, sf_dir), apps,
+                                     stats.national_rate(apps))
+
+
+def _standin_scored(spark, sf_dir):
+    acc = validation.accepted(_validated(spark, sf_dir))
+    return acc.select("req_id", "modelo", "municipio",
+                      scoring.standin_probability("req_id", 37, 997).alias("prob_sel"),
+                      scoring.standin_probability("req_id", 53, 991).alias("prob_ref"))
+
+
+@query("risk_bands")
+def q_risk_bands(spark, sf_dir):
+    """P10 on accepted requests (stand-in probability)."""
+    s = _standin_scored(spark, sf_dir)
+    return s.select("req_id", bands.round_prob("prob_sel").alias("probabilidad"),
+                    bands.risk_class("prob_sel").alias("clasificacion"),
+                    bands.risk_level("prob_sel").alias("nivel_riesgo"))
+
+
+@query("interpretation")
+def q_interpretation(spark, sf_dir):
+    """P11."""
+    s = _standin_scored(spark, sf_dir)
+    return s.select("req_id", "modelo",
+                    bands.interpretation("prob_sel", "prob_ref", "modelo").alias("interpretacion"))
+
+
+@query("score_compare")
+def q_score_compare(spark, sf_dir):
+    """G4 flat response with J7 and P9."""
+    return scoring.score_compare(_standin_scored(spark, sf_dir), spark)
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    """J8."""
+    return scoring.model_comparison(tables.requests_from_orders(spark, sf_dir), spark,
+                                    tables.SELECTABLE_MODELS)
+
+
+def _baseline_predictions(spark, sf_dir):
+    s = _split_matrix(spark, sf_dir).where(F.col("split") == "test")
+    # One scan: each test row fans out to the four baseline scorers.
+    scorers = F.array(
+        F.struct(F.lit("hist_ap").alias("modelo"), F.col("hist_ap").alias("prob")),
+        F.struct(F.lit("prog_ap").alias("modelo"), F.col("prog_ap").alias("prob")),
+        F.struct(F.lit("standin_37").alias("modelo"),
+                 scoring.standin_probability("app_id", 37, 997).alias("prob")),
+        F.struct(F.lit("standin_53").alias("modelo"),
+                 scoring.standin_probability("app_id", 53, 991).alias("prob")))
+    return (s.select(F.col("Aprobado").alias("label"), F.explode(scorers).alias("_s"))
+            .select("_s.modelo", "label", "_s.prob"))
+
+
+@query("evaluate_predictions")
+def q_evaluate_predictions(spark, sf_dir):
+    """M6, M7, G3 on baseline scorers over the test split."""
+    return evaluation.classification_metrics(_baseline_predictions(spark, sf_dir),
+                                             "label", "prob", "modelo")
+
+
+@query("best_model_per_metric")
+def q_best_model_per_metric(spark, sf_dir):
+    """W3, W4."""
+    m = evaluation.classification_metrics(_baseline_predictions(spark, sf_dir),
+                                          "label", "prob", "modelo")
+    long = reporting.metrics_long(m, "modelo", ["accuracy", "precision", "recall", "f1", "auc"])
+    return reporting.best_per_metric(long, "modelo").withColumn(
+        "rank", F.col("rank").cast("long"))
+
+
+# ---------------------------------------------------------------- W*, T2
+def _series(spark, sf_dir):
+    return timeseries.yearly_series(_apps(spark, sf_dir))
+
+
+@query("rolling_mean")
+def q_rolling_mean(spark, sf_dir):
+    """5-year trailing mean of the approval rate per municipality."""
+    s = _series(spark, sf_dir)
+    return timeseries.rolling_mean(s, "Municipio", "Anio_int", "tasa", 5).select(
+        "Municipio", "Anio_int", "tasa", "tasa_ma5")
+
+
+SEQ_WINDOW, SEQ_MIN_YEARS = 3, 5
+
+
+@query("year_sequences")
+def q_year_sequences(spark, sf_dir):
+    """W2 with window 3 / minimum 5 years (the fixture spans 7-8 years)."""
+    return timeseries.year_sequences(_series(spark, sf_dir), window=SEQ_WINDOW,
+                                     min_years=SEQ_MIN_YEARS)
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    """T2 on the persistence forecast of the year sequences."""
+    seq = timeseries.year_sequences(_series(spark, sf_dir), window=SEQ_WINDOW,
+                                    min_years=SEQ_MIN_YEARS)
+    return evaluation.regression_metrics(timeseries.persistence_forecast(seq, SEQ_WINDOW),
+                                         "y", "yhat")
+
+
+# ---------------------------------------------------------------- text / vectors
+def _corpus(spark, sf_dir):
+    return text.corpus(_apps(spark, sf_dir))
+
+
+@query("corpus_tokens")
+def q_corpus_tokens(spark, sf_dir):
+    """N1."""
+    return text.exploded_tokens(_corpus(spark, sf_dir)).withColumn(
+        "pos", F.col("pos").cast("long"))
+
+
+@query("ngram_counts")
+def q_ngram_counts(spark, sf_dir):
+    """Unigrams + bigrams of the application corpus."""
+    return text.ngram_counts(_corpus(spark, sf_dir))
+
+
+@query("vocabulary")
+def q_vocabulary(spark, sf_dir):
+    """N3 on the documents table (whole texts)."""
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text.vocabulary(docs)
+
+
+@query("tfidf")
+def q_tfidf(spark, sf_dir):
+    """N4 on the application corpus."""
+    return text.tfidf(_corpus(spark, sf_dir))
+
+
+@query("chi2_top_terms")
+def q_chi2_top_terms(spark, sf_dir):
+    """N5 / O2."""
+    return text.chi2_top_terms(_corpus(spark, sf_dir), 20)
+
+
+def _embeddings(spark, sf_dir):
+    return tables.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+@query("cosine_pairs")
+def q_cosine_pairs(spark, sf_dir):
+    """N9 on successive embedding ids."""
+    e = _embeddings(spark, sf_dir)
+    return vectors.cosine_pairs(e, vectors.successor_pairs(e))
+
+
+@query("nearest_vectors")
+def q_nearest_vectors(spark, sf_dir):
+    """5 nearest embeddings to the lowest-id embedding."""
+    e = _embeddings(spark, sf_dir)
+    qid = e.agg(F.min("vec_id")).first()[0]
+    return vectors.nearest_vectors(e, vectors.vector_of(e, qid), 5, exclude_id=qid)
+
+
+# ---------------------------------------------------------------- density
+DENSITY_EPS, DENSITY_MIN_PTS = 1.0, 5
+
+
+def _std_profile(spark, sf_dir):
+    return features.profile_standardized(_profile_n(spark, sf_dir))
+
+
+@query("density_outliers")
+def q_density_outliers(spark, sf_dir):
+    """C4 with eps=1.0, min_pts=5 on the standardized profile."""
+    return clustering.density_outliers(_std_profile(spark, sf_dir), eps=DENSITY_EPS,
+                                       min_pts=DENSITY_MIN_PTS)

@@ -50,11 +50,21 @@ def compare(spark, sf_dir, keys=None, verbose=True):
                 print(f"{k:32s} rows-only n={n} {time.time()-t:.1f}s", flush=True)
             continue
         t = time.time()
-        sdf = qs[k](spark, sf_dir)
-        cols = sorted(sdf.columns)
-        srows = sorted((tuple(norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
+        try:
+            sdf = qs[k](spark, sf_dir)
+            cols = sorted(sdf.columns)
+            srows = sorted((tuple(norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
+        except Exception as e:  # noqa: BLE001
+            results[k] = ("SPARK-ERROR", 0, 0, 0)
+            print(f"{k:32s} SPARK-ERROR {str(e).splitlines()[0][:300]}", flush=True)
+            continue
         ts = time.time() - t
-        rel = con.execute(ors[k])
+        try:
+            rel = con.execute(ors[k])
+        except Exception as e:  # noqa: BLE001
+            results[k] = ("DUCK-ERROR", 0, 0, 0)
+            print(f"{k:32s} DUCK-ERROR {str(e).splitlines()[0][:300]}", flush=True)
+            continue
         dcols = [d[0] for d in rel.description]
         drows_raw = rel.fetchall()
         idx = [dcols.index(c) if c in dcols else None for c in cols]
@@ -80,5 +90,5 @@ if __name__ == "__main__":
     keys = sys.argv[2:] or None
     spark = get_session("local[8]", shuffle_partitions=8)
     res = compare(spark, sf, keys)
-    bad = [k for k, v in res.items() if v[0] == "MISMATCH"]
+    bad = [k for k, v in res.items() if v[0] not in ("ok", "rows-only")]
     print("MISMATCHES:", bad)
