@@ -165,7 +165,8 @@ def profile_standardized(profile: DataFrame, columns=PROFILE_FEATURES,
     return filled.select(out)
 
 
-def serving_features(requests: DataFrame, apps: DataFrame, national_rate: float) -> DataFrame:
+def serving_features(requests: DataFrame, apps: DataFrame, national_rate: float,
+                     keep=()) -> DataFrame:
     """12 features per request with the serving defaults.
 
     Unknown categories get code 0 (collides with the first real code, as
@@ -179,7 +180,7 @@ def serving_features(requests: DataFrame, apps: DataFrame, national_rate: float)
          .join(ps.withColumnRenamed("Programa", "programa"), "programa", "left"))
     rate = F.lit(float(national_rate))
     return r.select(
-        "req_id",
+        "req_id", *keep,
         F.coalesce("d_enc", F.lit(UNSEEN_CODE)).cast("double").alias("d_enc"),
         F.coalesce("m_enc", F.lit(UNSEEN_CODE)).cast("double").alias("m_enc"),
         F.coalesce("p_enc", F.lit(UNSEEN_CODE)).cast("double").alias("p_enc"),

@@ -415,3 +415,170 @@ def q_density_outliers(spark, sf_dir):
     """C4 with eps=1.0, min_pts=5 on the standardized profile."""
     return clustering.density_outliers(_std_profile(spark, sf_dir), eps=DENSITY_EPS,
                                        min_pts=DENSITY_MIN_PTS)
+
+
+# ---------------------------------------------------------------- learned models (rows-only)
+from grantlens.operators import models as _models  # noqa: E402
+from grantlens.plans import serving, training  # noqa: E402
+
+
+def _model_scores(name):
+    def run(spark, sf_dir):
+        td = training.prepare(spark, sf_dir)
+        return training.test_scores(td, name)
+    return run
+
+
+for _key, _name in [("logistic_scores", "Logistic Regression"), ("forest_scores", "Random Forest"),
+                    ("boosted_fast_scores", "XGBoost"), ("boosted_scores", "Gradient Boosting"),
+                    ("mlp_scores", "Red MLP")]:
+    query(_key)(_model_scores(_name))
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    """M6/M7 for the five fitted models on the test split."""
+    return training.evaluate(training.prepare(spark, sf_dir))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """M8: permutation importance (AUC drop) + tree importances of Gradient Boosting, sorted (O1)."""
+    td = training.prepare(spark, sf_dir)
+    m = training.fitted(td, "Gradient Boosting")
+    perm = _models.permutation_importance(m, td.test)
+    trees = spark.createDataFrame(_models.tree_importance(m), "feature string, tree_importance double")
+    return perm.join(trees, "feature").orderBy("importance", "feature")
+
+
+@query("ablation")
+def q_ablation(spark, sf_dir):
+    """M9: LR with all features / without history / unscaled."""
+    return training.ablation(training.prepare(spark, sf_dir))
+
+
+def _fitted_serving(spark, sf_dir):
+    td = training.prepare(spark, sf_dir)
+    return {n: training.fitted(td, n) for n in tables.SELECTABLE_MODELS}
+
+
+@query("batch_score")
+def q_batch_score(spark, sf_dir):
+    """G1-G4 with the fitted models on every derived request."""
+    return serving.batch_score(spark, tables.requests_from_orders(spark, sf_dir),
+                               _apps(spark, sf_dir), _fitted_serving(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- clustering (rows-only)
+_KMEANS: dict = {}
+
+
+def _kmeans(spark, sf_dir):
+    """C1 fit once per session and data folder (shared by three keys)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KMEANS:
+        prof = _profile_n(spark, sf_dir).checkpoint()
+        std = features.profile_standardized(prof)
+        assign, _ = clustering.kmeans_clusters(std)
+        assign = assign.checkpoint()
+        _KMEANS[key] = (assign, clustering.cluster_profiles(assign, prof))
+    return _KMEANS[key]
+
+
+@query("municipality_clusters")
+def q_municipality_clusters(spark, sf_dir):
+    """C1 (+C2 relabel): municipality -> cluster ordered by approval rate."""
+    assign, profiles = _kmeans(spark, sf_dir)
+    return clustering.relabeled(assign, profiles)
+
+
+@query("cluster_profiles")
+def q_cluster_profiles(spark, sf_dir):
+    """C2 with P13 reward/decision per cluster."""
+    return _kmeans(spark, sf_dir)[1]
+
+
+@query("silhouette_sweep")
+def q_silhouette_sweep(spark, sf_dir):
+    """k = 2..8."""
+    return clustering.silhouette_sweep(_std_profile(spark, sf_dir))
+
+
+@query("density_clusters")
+def q_density_clusters(spark, sf_dir):
+    """C5 with eps=1.0, min_pts=5."""
+    return clustering.density_clusters(_std_profile(spark, sf_dir), eps=DENSITY_EPS,
+                                       min_pts=DENSITY_MIN_PTS)
+
+
+@query("cluster_lookup")
+def q_cluster_lookup(spark, sf_dir):
+    """Request -> cluster profile (NULL for unknown municipalities)."""
+    assign, profiles = _kmeans(spark, sf_dir)
+    cl = clustering.relabeled(assign, profiles).withColumnRenamed("Municipio", "municipio")
+    return scoring.cluster_lookup(tables.requests_from_orders(spark, sf_dir), cl)
+
+
+# ---------------------------------------------------------------- text models (rows-only)
+@query("text_classifiers")
+def q_text_classifiers(spark, sf_dir):
+    """N6 on the four-column corpus (label leaks through Estado)."""
+    return text.text_classifiers(_corpus(spark, sf_dir))
+
+
+@query("text_classifiers_no_state")
+def q_text_classifiers_no_state(spark, sf_dir):
+    """Same without Estado."""
+    docs = text.corpus(_apps(spark, sf_dir), ("Programa", "Municipio", "Departamento"))
+    return text.text_classifiers(docs)
+
+
+@query("word_vectors")
+def q_word_vectors(spark, sf_dir):
+    """d=50, 30 iterations."""
+    return text.word_vectors(_corpus(spark, sf_dir))
+
+
+@query("topic_terms")
+def q_topic_terms(spark, sf_dir):
+    """7 topics, top words and log-perplexity."""
+    return text.topic_terms(_corpus(spark, sf_dir), k=7)
+
+
+@query("topic_sizes")
+def q_topic_sizes(spark, sf_dir):
+    """N12."""
+    return text.topic_sizes(_corpus(spark, sf_dir), k=7)
+
+
+@query("next_year_forecast")
+def q_next_year_forecast(spark, sf_dir):
+    """Linear model on 3-year lag vectors, latest year held out."""
+    seq = timeseries.year_sequences(_series(spark, sf_dir), window=SEQ_WINDOW,
+                                    min_years=SEQ_MIN_YEARS)
+    return timeseries.next_year_forecast(seq, SEQ_WINDOW)
+
+
+# ---------------------------------------------------------------- sinks / streaming
+@query("write_lookups")
+def q_write_lookups(spark, sf_dir):
+    """S3: lookups written as parquet in the shared folder, read back."""
+    from grantlens.session import scratch_path
+    from grantlens.sources import artifacts
+    paths = artifacts.write_lookups(artifacts.build_lookups(_apps(spark, sf_dir)),
+                                    scratch_path(spark, "lookups"))
+    return artifacts.lookup_summary(spark, paths)
+
+
+@query("stream_score")
+def q_stream_score(spark, sf_dir):
+    """Requests written as files, scored by a streaming query, sink read back."""
+    from grantlens.session import scratch_path
+    from grantlens.streaming.scoring import start_stream_score
+    base = scratch_path(spark, "stream")
+    req = tables.requests_from_orders(spark, sf_dir)
+    req.write.mode("overwrite").parquet(f"{base}/in")
+    q = start_stream_score(spark, f"{base}/in", req.schema, _apps(spark, sf_dir),
+                           _fitted_serving(spark, sf_dir), f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
