@@ -63,7 +63,7 @@ def estimator(name: str, n_train_weight: float | None = None, seed: int = 42,
                                   standardization=False)
     if name == "Random Forest":
         return RandomForestClassifier(featuresCol="features", labelCol="label",
-                                      numTrees=iterations or 20, maxDepth=20, maxBins=64,
+                                      numTrees=iterations or 20, maxDepth=16, maxBins=64,
                                       featureSubsetStrategy="sqrt", seed=seed)
     if name == "XGBoost":
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=iterations or 100,

@@ -36,9 +36,24 @@ def tokenize(docs: DataFrame, text: str = "text", out: str = "tokens") -> DataFr
     return docs.withColumn(out, tokens_of(text))
 
 
+def explode_terms(df: DataFrame, array_col: str, out: str = "term", keep=("doc_id",),
+                  with_pos: bool = False) -> DataFrame:
+    """Explode an array column, one row per element.
+
+    ``explode_outer`` + a null filter is used instead of ``explode``: the
+    plain form makes Catalyst infer a ``size(array) > 0`` filter and push
+    it below the projection, which re-evaluates the tokenizer for it.
+    """
+    if with_pos:
+        gen = F.posexplode_outer(array_col).alias("pos", out)
+    else:
+        gen = F.explode_outer(array_col).alias(out)
+    return df.select(*keep, gen).where(F.col(out).isNotNull())
+
+
 def exploded_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, pos, token), pos 0-based."""
-    return docs.select("doc_id", F.posexplode(tokens_of(text)).alias("pos", "token"))
+    return explode_terms(tokenize(docs, text), "tokens", "token", with_pos=True)
 
 
 def bigrams(tokens: str = "tokens") -> Column:
@@ -58,7 +73,7 @@ def with_ngrams(docs: DataFrame, tokens: str = "tokens", out: str = "terms",
 
 def term_counts(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """(doc_id, term, tf) — one row per distinct term per document."""
-    return (docs.select("doc_id", F.explode(terms).alias("term"))
+    return (explode_terms(docs, terms)
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -102,7 +117,7 @@ def chi2_terms(docs: DataFrame, label: str = "label", max_n: int = 2,
     p = {int(r[label]): r["_nd"] for r in priors.collect()}  # at most 2 rows
     n = float(sum(p.values()))
     p0, p1 = p.get(0, 0) / n, p.get(1, 0) / n
-    per = (d.select(label, F.explode("terms").alias("term"))
+    per = (explode_terms(d, "terms", keep=(label,))
            .groupBy("term").agg(F.sum((F.col(label) == 1).cast("long")).alias("o1"),
                                 F.sum((F.col(label) != 1).cast("long")).alias("o0")))
     tot = F.col("o0") + F.col("o1")

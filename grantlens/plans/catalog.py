@@ -41,7 +41,12 @@ def query(name: str):
 
 
 def _apps(spark, sf_dir):
-    return tables.applications(spark, sf_dir)
+    from grantlens.plans.materialize import applications_table
+    return applications_table(spark, sf_dir)
+
+
+def _requests(spark, sf_dir):
+    return tables.requests_from_applications(_apps(spark, sf_dir))
 
 
 @query("load_applications")
@@ -163,7 +168,8 @@ def q_training_matrix(spark, sf_dir):
 
 
 def _split_matrix(spark, sf_dir):
-    return features.stratified_split(features.training_matrix(_apps(spark, sf_dir)))
+    from grantlens.plans import training
+    return training.prepare(spark, sf_dir).split
 
 
 @query("stratified_split")
@@ -194,7 +200,10 @@ def q_prior_history(spark, sf_dir):
 
 
 def _profile_n(spark, sf_dir):
-    return features.profile_normalized(stats.municipality_profile(_apps(spark, sf_dir)))
+    # One row per municipality; checkpointed because the normalizing and
+    # standardizing scalars and the neighbour join each read it again.
+    prof = stats.municipality_profile(_apps(spark, sf_dir)).checkpoint()
+    return features.profile_normalized(prof)
 
 
 @query("profile_normalized")
@@ -214,7 +223,7 @@ def q_profile_standardized(spark, sf_dir):
 def _validated(spark, sf_dir):
     apps = _apps(spark, sf_dir)
     b = stats.dataset_bounds(apps).first()
-    return validation.validate_requests(tables.requests_from_orders(spark, sf_dir), apps,
+    return validation.validate_requests(_requests(spark, sf_dir), apps,
                                         int(b["anio_min"]), int(b["anio_max"]))
 
 
@@ -242,7 +251,7 @@ def q_accepted_requests(spark, sf_dir):
 def q_serving_features(spark, sf_dir):
     """J3, E2, P7 for every request (unseen categories -> code 0)."""
     apps = _apps(spark, sf_dir)
-    return features.serving_features(tables.requests_from_orders(spark, sf_dir), apps,
+    return features.serving_features(_requests(spark, sf_dir), apps,
                                      stats.national_rate(apps))
 
 
@@ -279,7 +288,7 @@ def q_score_compare(spark, sf_dir):
 @query("model_comparison")
 def q_model_comparison(spark, sf_dir):
     """J8."""
-    return scoring.model_comparison(tables.requests_from_orders(spark, sf_dir), spark,
+    return scoring.model_comparison(_requests(spark, sf_dir), spark,
                                     tables.SELECTABLE_MODELS)
 
 
@@ -407,7 +416,7 @@ DENSITY_EPS, DENSITY_MIN_PTS = 1.0, 5
 
 
 def _std_profile(spark, sf_dir):
-    return features.profile_standardized(_profile_n(spark, sf_dir))
+    return features.profile_standardized(_profile_n(spark, sf_dir)).checkpoint()
 
 
 @query("density_outliers")
@@ -465,7 +474,7 @@ def _fitted_serving(spark, sf_dir):
 @query("batch_score")
 def q_batch_score(spark, sf_dir):
     """G1-G4 with the fitted models on every derived request."""
-    return serving.batch_score(spark, tables.requests_from_orders(spark, sf_dir),
+    return serving.batch_score(spark, _requests(spark, sf_dir),
                                _apps(spark, sf_dir), _fitted_serving(spark, sf_dir))
 
 
@@ -477,7 +486,7 @@ def _kmeans(spark, sf_dir):
     """C1 fit once per session and data folder (shared by three keys)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KMEANS:
-        prof = _profile_n(spark, sf_dir).checkpoint()
+        prof = _profile_n(spark, sf_dir)
         std = features.profile_standardized(prof)
         assign, _ = clustering.kmeans_clusters(std)
         assign = assign.checkpoint()
@@ -516,7 +525,7 @@ def q_cluster_lookup(spark, sf_dir):
     """Request -> cluster profile (NULL for unknown municipalities)."""
     assign, profiles = _kmeans(spark, sf_dir)
     cl = clustering.relabeled(assign, profiles).withColumnRenamed("Municipio", "municipio")
-    return scoring.cluster_lookup(tables.requests_from_orders(spark, sf_dir), cl)
+    return scoring.cluster_lookup(_requests(spark, sf_dir), cl)
 
 
 # ---------------------------------------------------------------- text models (rows-only)
@@ -576,7 +585,7 @@ def q_stream_score(spark, sf_dir):
     from grantlens.session import scratch_path
     from grantlens.streaming.scoring import start_stream_score
     base = scratch_path(spark, "stream")
-    req = tables.requests_from_orders(spark, sf_dir)
+    req = _requests(spark, sf_dir)
     req.write.mode("overwrite").parquet(f"{base}/in")
     q = start_stream_score(spark, f"{base}/in", req.schema, _apps(spark, sf_dir),
                            _fitted_serving(spark, sf_dir), f"{base}/out", f"{base}/ckpt")

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from grantlens.operators import features, models
 from grantlens.operators.evaluation import classification_metrics
 from grantlens.session import shared_dir
-from grantlens.sources import tables
 
 
 @dataclass
@@ -43,7 +42,9 @@ def prepare(spark: SparkSession, sf_dir: str, apps: DataFrame | None = None) ->
     if key in _CACHE:
         return _CACHE[key]
     shared_dir(spark)
-    apps = apps if apps is not None else tables.applications(spark, sf_dir)
+    if apps is None:
+        from grantlens.plans.materialize import applications_table
+        apps = applications_table(spark, sf_dir)
     split = features.stratified_split(features.training_matrix(apps)).checkpoint()
     bounds = features.minmax_fit(split.where(F.col("split") == "train"))
     td = TrainingData(split, bounds)

@@ -28,6 +28,9 @@ def get_session(master: str | None = None, app_name: str = "grantlens",
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # Local mode runs every task inside the driver JVM.
+        b = b.config("spark.driver.memory", os.environ.get("GRANTLENS_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)

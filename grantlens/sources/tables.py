@@ -77,13 +77,16 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_from_applications(applications(spark, sf_dir))
+
+
+def requests_from_applications(apps: DataFrame) -> DataFrame:
     """Scoring requests derived from every application.
 
     Fixed shares (by app_id % 20) carry an unknown model, department,
     municipality, program or an out-of-range year so that each rejection
     path is exercised; every other request mirrors its application.
     """
-    apps = applications(spark, sf_dir)
     k = F.col("app_id")
     slot = k % 20
     model = F.when(slot == 1, F.lit("Gradient Boosting")).otherwise(
