@@ -71,37 +71,74 @@ def training_matrix(apps: DataFrame, id_col: str = "app_id") -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "app_id",
-                     test_num: int = 1, test_den: int = 5, prefix_len: int = 4) -> DataFrame:
+                     test_num: int = 1, test_den: int = 5, step: int = 4,
+                     max_rank_rows: int = 1_000_000) -> DataFrame:
     """Exact stratified split, seeded by md5 of the id.
 
     Per class c the first ceil(n_c * test_num / test_den) rows in
-    (md5(id), id) order are 'test'.  Instead of ranking a whole class in
-    one task, rows are counted per (class, hash prefix); only rows in the
-    one boundary prefix per class are ranked.
+    (md5(id), id) order are 'test'.  No task ranks a whole class: rows are
+    counted per (class, hash prefix) -- a partial aggregate -- and the
+    prefix holding each class's cut point is found on that small table.
+    While that boundary prefix holds more than ``max_rank_rows`` rows it
+    is refined by ``step`` more hex digits (counting only its rows).  Only
+    rows of the final boundary prefix are ranked.  The boundary is one row
+    per class (the label is binary), so it is read to the driver and
+    applied as literals: no join.
     """
-    h = F.md5(F.col(id_col).cast("string"))
-    d = df.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, prefix_len))
-    counts = d.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(label)
-    counts = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-              .withColumn("_ntest", F.floor((F.sum("_c").over(total) * test_num + test_den - 1)
-                                             / test_den)))
-    boundary = (counts.where((F.col("_before") < F.col("_ntest"))
-                             & (F.col("_before") + F.col("_c") >= F.col("_ntest")))
-                .select(label, F.col("_p").alias("_bp"),
-                        (F.col("_ntest") - F.col("_before")).alias("_need")))
-    # One boundary row per class: the label is binary, so this side is bounded.
-    j = d.join(F.broadcast(boundary), label, "left")
-    inside = j.where(F.col("_p") == F.col("_bp"))
-    ranked = inside.withColumn(
+    d = df.withColumn("_h", F.md5(F.col(id_col).cast("string")))
+
+    def boundary(counts: DataFrame, need: dict) -> dict:
+        # counts: (label, _p, _c), small; returns {class: (prefix, before, count)}.
+        w = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        c2 = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        cond = F.lit(False)
+        for c, k in need.items():
+            cond = cond | ((F.col(label) == F.lit(c)) & (F.col("_before") < k)
+                           & (F.col("_before") + F.col("_c") >= k))
+        return {r[label]: (r["_p"], r["_before"], r["_c"])
+                for r in c2.where(cond).select(label, "_p", "_before", "_c").collect()}
+
+    length = step
+    counts = (d.groupBy(label, F.substring("_h", 1, length).alias("_p"))
+              .agg(F.count(F.lit(1)).alias("_c")).persist())
+    totals = {r[label]: r["n"] for r in
+              counts.groupBy(label).agg(F.sum("_c").alias("n")).collect()}
+    need = {c: (n * test_num + test_den - 1) // test_den for c, n in totals.items()}
+    found = boundary(counts, need)
+    counts.unpersist()
+    prefix = {c: found[c][0] for c in found}
+    need = {c: need[c] - found[c][1] for c in found}
+    size = {c: found[c][2] for c in found}
+    while length < 32 and any(v > max_rank_rows for v in size.values()):
+        length = min(32, length + step)
+        cond = F.lit(False)
+        for c in prefix:
+            cond = cond | ((F.col(label) == F.lit(c)) & F.col("_h").startswith(prefix[c]))
+        sub = (d.where(cond).groupBy(label, F.substring("_h", 1, length).alias("_p"))
+               .agg(F.count(F.lit(1)).alias("_c")))
+        found = boundary(sub, need)
+        for c, (p, b, n) in found.items():
+            prefix[c], need[c], size[c] = p, need[c] - b, n
+    totals = prefix  # classes that have a boundary (every non-empty class)
+
+    cur = F.substring("_h", 1, length)
+    before = F.lit(False)
+    inside = F.lit(False)
+    for c in totals:
+        is_c = F.col(label) == F.lit(c)
+        before = before | (is_c & (cur < F.lit(prefix[c])))
+        inside = inside | (is_c & (cur == F.lit(prefix[c])))
+    before, inside = F.coalesce(before, F.lit(False)), F.coalesce(inside, F.lit(False))
+    ins = d.where(inside).withColumn(
         "_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", id_col)))
-    inside = ranked.withColumn(
-        "split", F.when(F.col("_r") <= F.col("_need"), "test").otherwise("train")).drop("_r")
-    outside = j.where(F.col("_bp").isNull() | (F.col("_p") != F.col("_bp"))).withColumn(
-        "split", F.when(F.col("_bp").isNotNull() & (F.col("_p") < F.col("_bp")), "test")
-        .otherwise("train"))
-    return inside.unionByName(outside).drop("_h", "_p", "_bp", "_need")
+    need_col = None
+    for c in totals:
+        e = F.when(F.col(label) == F.lit(c), F.lit(need[c]))
+        need_col = e if need_col is None else need_col.when(F.col(label) == F.lit(c), F.lit(need[c]))
+    ins = ins.withColumn("split", F.when(F.col("_r") <= need_col, "test").otherwise("train")) \
+        .drop("_r")
+    outs = d.where(~inside).withColumn("split", F.when(before, "test").otherwise("train"))
+    return ins.unionByName(outs).drop("_h")
 
 
 def minmax_fit(train: DataFrame, features=FEATURES) -> dict[str, tuple[float, float]]:

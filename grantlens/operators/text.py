@@ -181,8 +181,10 @@ def word_vectors(docs: DataFrame, size: int = 50, iters: int = 30, min_count: in
     from pyspark.ml.functions import vector_to_array
 
     d = tokenize(docs)
+    # Spark's default (one partition) would train on the whole corpus in one task.
+    parts = docs.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=size, maxIter=iters, minCount=min_count, seed=seed,
-                     inputCol="tokens", outputCol="vec").fit(d)
+                     numPartitions=max(1, parts), inputCol="tokens", outputCol="vec").fit(d)
     return model.getVectors().select(F.col("word").alias("term"),
                                      vector_to_array("vector").alias("vector"))
 

@@ -48,11 +48,13 @@ def test_unseen_category_gets_code_zero_and_defaults(spark):
     assert r.VxH == 5.0  # serving form: v / max(h, 1)
 
 
-@pytest.mark.parametrize("n0,n1", [(7, 13), (1000, 2345), (3, 0)])
-def test_split_exact_and_matches_plain_ranking(spark, n0, n1):
+@pytest.mark.parametrize("n0,n1,cap", [(7, 13, 10**6), (1000, 2345, 10**6), (3, 0, 10**6),
+                                        (1000, 2345, 3), (5000, 20, 1)])
+def test_split_exact_and_matches_plain_ranking(spark, n0, n1, cap):
     rows = [(i, 0) for i in range(n0)] + [(100000 + i, 1) for i in range(n1)]
     df = spark.createDataFrame(rows, "app_id long, Aprobado int")
-    s = features.stratified_split(df).collect()
+    # ``cap`` forces the boundary-prefix refinement path.
+    s = features.stratified_split(df, max_rank_rows=cap).collect()
     assert sorted(r.app_id for r in s) == sorted(r[0] for r in rows)  # complete, disjoint
     # Brute force: per class, first ceil(n/5) ids in md5 order are test.
     import hashlib
