@@ -376,8 +376,9 @@ def q_ngram_counts(spark, sf_dir):
 @query("vocabulary")
 def q_vocabulary(spark, sf_dir):
     """N3 on the documents table (whole texts)."""
+    from grantlens.session import ensure_parallelism
     docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return text.vocabulary(docs)
+    return text.vocabulary(ensure_parallelism(docs))
 
 
 @query("tfidf")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.session import scratch_path
+from grantlens.session import ensure_parallelism, scratch_path
 from grantlens.sources import tables
 
 _TABLES: dict[tuple, str] = {}
@@ -22,5 +22,12 @@ def applications_table(spark: SparkSession, sf_dir: str, refresh: bool = False)
     if refresh or key not in _TABLES:
         path = scratch_path(spark, "applications")
         tables.applications(spark, sf_dir).write.mode("overwrite").parquet(path)
+        back = spark.read.parquet(path)
+        if back.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            # Small result (AQE coalesced it into few files): rewrite once
+            # with one file per core so later jobs read it in parallel.
+            path2 = scratch_path(spark, "applications")
+            ensure_parallelism(back).write.mode("overwrite").parquet(path2)
+            path = path2
         _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])

@@ -65,3 +65,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def cpu_count() -> int:
     return os.cpu_count() or 8
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Round-robin repartition only when ``df`` has fewer partitions than cores.
+
+    Small inputs (one parquet row group, a coalesced result) would otherwise
+    run heavy per-row work in one or two tasks.  Large inputs already have
+    at least as many partitions as cores, so this never adds a shuffle there.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
