@@ -62,11 +62,40 @@ def with_history(apps: DataFrame) -> DataFrame:
             .join(dc, "Departamento", "left"))
 
 
-def training_matrix(apps: DataFrame, id_col: str = "app_id") -> DataFrame:
-    """Id + 12 features + label, rows with any NULL/NaN dropped."""
+def with_prior_history(apps: DataFrame) -> DataFrame:
+    """J1, J2 with E9: history from strictly earlier years only (no label leak).
+
+    Municipality history comes from ``prior_history`` on (Municipio, year),
+    program history likewise on (Programa, year); codes as in E1.  Rows in
+    a key's first year have no history (NULL) and drop in P8.
+    """
+    _, _, dc = _coded_stats(apps)
+    ms = stats.municipality_stats(apps).select("Municipio").withColumn(
+        "m_enc", (F.row_number().over(Window.orderBy("Municipio")) - 1).cast("int"))
+    ps = stats.program_stats(apps).select("Programa").withColumn(
+        "p_enc", (F.row_number().over(Window.orderBy("Programa")) - 1).cast("int"))
+    mh = stats.prior_history(apps, "Municipio").select(
+        "Municipio", "Anio_int", F.col("prior_ap").alias("hist_ap"),
+        F.col("prior_hh").alias("hist_hh"),
+        F.when(F.col("prior_n") > 0, F.col("prior_n")).alias("n_reg"))
+    ph = stats.prior_history(apps, "Programa").select(
+        "Programa", "Anio_int", F.col("prior_ap").alias("prog_ap"),
+        F.col("prior_hh").alias("prog_hh"))
+    return (apps.join(mh, ["Municipio", "Anio_int"], "left")
+            .join(ph, ["Programa", "Anio_int"], "left")
+            .join(ms, "Municipio", "left").join(ps, "Programa", "left")
+            .join(dc, "Departamento", "left"))
+
+
+def training_matrix(apps: DataFrame, id_col: str = "app_id", mode: str = "full") -> DataFrame:
+    """Id + 12 features + label, rows with any NULL/NaN dropped.
+
+    ``mode="full"`` keeps the reference's statistics over all rows (each
+    row's own label included); ``mode="prior"`` uses earlier years only.
+    """
     cols = [id_col] + FEATURES + [LABEL]
-    m = with_history(apps).select([F.col(c).cast("double") if c in FEATURES else F.col(c)
-                                   for c in cols])
+    joined = with_history(apps) if mode == "full" else with_prior_history(apps)
+    m = joined.select([F.col(c).cast("double") if c in FEATURES else F.col(c) for c in cols])
     return m.na.drop(subset=FEATURES + [LABEL])
 
 

@@ -167,6 +167,12 @@ def q_training_matrix(spark, sf_dir):
     return features.training_matrix(_apps(spark, sf_dir))
 
 
+@query("training_matrix_prior")
+def q_training_matrix_prior(spark, sf_dir):
+    """E9 in the matrix: history from earlier years only."""
+    return features.training_matrix(_apps(spark, sf_dir), mode="prior")
+
+
 def _split_matrix(spark, sf_dir):
     from grantlens.plans import training
     return training.prepare(spark, sf_dir).split
@@ -549,6 +555,17 @@ def q_word_vectors(spark, sf_dir):
     return text.word_vectors(_corpus(spark, sf_dir))
 
 
+@query("nearest_terms")
+def q_nearest_terms(spark, sf_dir):
+    """N10 on fitted word vectors: 5 nearest terms to 'vencido' (or the first term)."""
+    wv = text.word_vectors(_corpus(spark, sf_dir)).withColumnRenamed("vector", "embedding")
+    probe = wv.where(F.col("term") == "vencido").select("term").first() or \
+        wv.orderBy("term").select("term").first()
+    qv = vectors.vector_of(wv, probe[0], id_col="term")
+    return vectors.nearest_vectors(wv, qv, 5, id_col="term", exclude_id=probe[0]) \
+        .withColumn("query", F.lit(probe[0]))
+
+
 @query("topic_terms")
 def q_topic_terms(spark, sf_dir):
     """7 topics, top words and log-perplexity."""

@@ -656,3 +656,55 @@ reach AS (
 SELECT c.src AS Municipio, c.n_neighbors, c.n_neighbors >= 5 AS is_core, r.any_core = 0 AS is_noise
 FROM cnt c JOIN reach r ON c.src = r.src
 """)
+
+oracle("training_matrix_prior")("""
+, mcode AS (
+  SELECT Municipio, row_number() OVER (ORDER BY Municipio) - 1 AS m_enc
+  FROM (SELECT DISTINCT Municipio FROM apps WHERE Municipio IS NOT NULL)
+),
+pcode AS (
+  SELECT Programa, row_number() OVER (ORDER BY Programa) - 1 AS p_enc
+  FROM (SELECT DISTINCT Programa FROM apps WHERE Programa IS NOT NULL)
+),
+dcode AS (
+  SELECT Departamento, row_number() OVER (ORDER BY Departamento) - 1 AS d_enc
+  FROM (SELECT DISTINCT Departamento FROM apps WHERE Departamento IS NOT NULL)
+),
+my AS (
+  SELECT Municipio, Anio_int, sum(Aprobado) AS _ap, sum(Hogares) AS _hh, count(*) AS _n
+  FROM apps WHERE Municipio IS NOT NULL GROUP BY Municipio, Anio_int
+),
+mh AS (
+  SELECT Municipio, Anio_int,
+         sum(_ap) OVER w / coalesce(sum(_n) OVER w, 0) AS hist_ap,
+         sum(_hh) OVER w / coalesce(sum(_n) OVER w, 0) AS hist_hh,
+         CASE WHEN coalesce(sum(_n) OVER w, 0) > 0 THEN sum(_n) OVER w END AS n_reg
+  FROM my WINDOW w AS (PARTITION BY Municipio ORDER BY Anio_int
+                       RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+py AS (
+  SELECT Programa, Anio_int, sum(Aprobado) AS _ap, sum(Hogares) AS _hh, count(*) AS _n
+  FROM apps WHERE Programa IS NOT NULL GROUP BY Programa, Anio_int
+),
+ph AS (
+  SELECT Programa, Anio_int,
+         sum(_ap) OVER w / coalesce(sum(_n) OVER w, 0) AS prog_ap,
+         sum(_hh) OVER w / coalesce(sum(_n) OVER w, 0) AS prog_hh
+  FROM py WINDOW w AS (PARTITION BY Programa ORDER BY Anio_int
+                       RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+pm AS (
+  SELECT f.app_id, CAST(dcode.d_enc AS DOUBLE) AS d_enc, CAST(mcode.m_enc AS DOUBLE) AS m_enc,
+         CAST(pcode.p_enc AS DOUBLE) AS p_enc, CAST(f.Anio_int AS DOUBLE) AS Anio_int,
+         f.Log_H, f.Log_V, f.VxH, mh.hist_ap, mh.hist_hh, CAST(mh.n_reg AS DOUBLE) AS n_reg,
+         ph.prog_ap, ph.prog_hh, f.Aprobado
+  FROM feats f
+  LEFT JOIN mh ON f.Municipio = mh.Municipio AND f.Anio_int = mh.Anio_int
+  LEFT JOIN ph ON f.Programa = ph.Programa AND f.Anio_int = ph.Anio_int
+  LEFT JOIN mcode ON f.Municipio = mcode.Municipio
+  LEFT JOIN pcode ON f.Programa = pcode.Programa
+  LEFT JOIN dcode ON f.Departamento = dcode.Departamento
+)
+SELECT app_id, """ + ", ".join(_r(c, c) for c in _FEATS) + """, Aprobado FROM pm
+WHERE """ + " AND ".join([f"{c} IS NOT NULL AND NOT isnan({c})" for c in _FEATS]
+                         + ["Aprobado IS NOT NULL"]))
