@@ -74,7 +74,7 @@ def estimator(name: str, n_train_weight: float | None = None, seed: int = 42,
     if name == "Red MLP":
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="label",
                                               layers=[len(FEATURES), 128, 64, 32, 2],
-                                              blockSize=512, maxIter=iterations or 100, seed=seed)
+                                              blockSize=512, maxIter=iterations or 50, seed=seed)
     raise KeyError(name)
 
 
