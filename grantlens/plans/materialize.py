@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.session import ensure_parallelism, scratch_path
+from grantlens.session import scratch_path
 from grantlens.sources import tables
 
 _TABLES: dict[tuple, str] = {}
@@ -21,13 +21,20 @@ def applications_table(spark: SparkSession, sf_dir: str, refresh: bool = False)
     key = (spark.sparkContext.applicationId, sf_dir)
     if refresh or key not in _TABLES:
         path = scratch_path(spark, "applications")
+        # The view spreads an under-partitioned orders input itself, so the
+        # write already yields at least one file per core.
         tables.applications(spark, sf_dir).write.mode("overwrite").parquet(path)
-        back = spark.read.parquet(path)
-        if back.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-            # Small result (AQE coalesced it into few files): rewrite once
-            # with one file per core so later jobs read it in parallel.
-            path2 = scratch_path(spark, "applications")
-            ensure_parallelism(back).write.mode("overwrite").parquet(path2)
-            path = path2
         _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a fresh path in the shared folder and read it back.
+
+    Cuts the lineage with one computation of ``df`` (an eager
+    ``checkpoint()`` computes its plan twice: once to count, once to
+    write), and later readers get column pruning and filter pushdown.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

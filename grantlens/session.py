@@ -78,3 +78,28 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def broadcast_threshold(spark: SparkSession) -> int:
+    """Spark's broadcast ceiling in bytes (``-1`` disables broadcasting)."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+             "g": 1 << 30, "gb": 1 << 30}
+    for suffix in sorted(units, key=len, reverse=True):
+        if raw.endswith(suffix):
+            return int(float(raw[: -len(suffix)]) * units[suffix])
+    return int(raw)
+
+
+def broadcast_if_within(df, row_bytes: int):
+    """Broadcast ``df`` only when its counted size fits Spark's ceiling.
+
+    The bound is proven by counting rows (one cheap job) times a per-row
+    width; past the ceiling the plain join is returned and Spark plans a
+    sort-merge join (AQE may still convert it at runtime).
+    """
+    from pyspark.sql import functions as F
+    limit = broadcast_threshold(df.sparkSession)
+    if limit > 0 and df.count() * row_bytes <= limit:
+        return F.broadcast(df)
+    return df

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.functions.cleaning import clean_applications
+from grantlens.session import broadcast_if_within, ensure_parallelism
 
 # Status text written for open orders, chosen by key % 4.
 OPEN_ORDER_STATES = ["Apto con Subsidio Vencido", "Renuncia", "Revocado", "Rechazado"]
@@ -19,6 +20,11 @@ OPEN_ORDER_STATES = ["Apto con Subsidio Vencido", "Renuncia", "Revocado", "Recha
 SELECTABLE_MODELS = ["Logistic Regression", "Random Forest", "XGBoost", "Red MLP"]
 
 
+# Width of one customer/nation/region row in a broadcast hash table
+# (keys, segment, names and hash-map overhead), for the size check.
+GEO_ROW_BYTES = 96
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -31,10 +37,16 @@ def _pick(index: Column, values: list[str]) -> Column:
 
 
 def applications_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw application records (string-typed like the source file) + app_id."""
-    orders = read_table(spark, sf_dir, "orders").select(
+    """Raw application records (string-typed like the source file) + app_id.
+
+    ``orders`` drives the row count.  When it arrives in fewer partitions
+    than there are cores (a small single-file table), it is spread once so
+    the joins, the text formatting and the downstream write run on every
+    core; large inputs already have enough splits and are left alone.
+    """
+    orders = ensure_parallelism(read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-        "o_orderdate", "o_orderpriority")
+        "o_orderdate", "o_orderpriority"))
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select(
@@ -44,10 +56,14 @@ def applications_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).alias("n_lines")))
 
-    # Dimension chain first: nation/region are tiny and broadcast by size;
-    # customer is broadcast only while Spark's size threshold allows it.
+    # Dimension chain first: nation/region are tiny and broadcast by size.
+    # The chain is the build side of the join with orders when its counted
+    # size fits the broadcast ceiling (Spark's own estimate of a join
+    # output is a product of sizes, which would pick orders instead);
+    # beyond it both sides shuffle on the customer key.
     geo = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
            .join(region, nation.n_regionkey == region.r_regionkey))
+    geo = broadcast_if_within(geo, GEO_ROW_BYTES)
     base = (orders.join(geo, orders.o_custkey == geo.c_custkey)
             .join(lines, orders.o_orderkey == lines.l_orderkey, "left"))
 
