@@ -3,8 +3,10 @@ text classifiers and topics.
 
 Tokens stay in an array column; bigrams are built inside the row with a
 higher-order function, so no window or shuffle is needed to pair
-neighbours.  Counting explodes the arrays and aggregates with a partial
-aggregate per task, so a very frequent term costs one row per task.
+neighbours.  Per-document term frequencies are also computed inside the
+row (sorted runs), and corpus counts aggregate them with a partial
+aggregate per task, so a very frequent term costs one row per task and
+no (document, term) pair is shuffled.
 """
 
 from __future__ import annotations
@@ -76,10 +78,31 @@ def with_ngrams(docs: DataFrame, tokens: str = "tokens", out: str = "terms",
     return docs.withColumn(out, grams)
 
 
+# Run starts and ends in a sorted token array ``_s``; each run of equal
+# tokens becomes one (term, tf) entry.  ``get`` is NULL out of bounds.
+_RUN_LENGTHS = """zip_with(
+    filter(sequence(0, size(_s) - 1), i -> i = 0 OR get(_s, i - 1) != _s[i]),
+    filter(sequence(0, size(_s) - 1), i -> i = size(_s) - 1 OR get(_s, i + 1) != _s[i]),
+    (a, b) -> named_struct('term', _s[a], 'tf', CAST(b - a + 1 AS BIGINT)))"""
+
+
+def with_term_frequencies(docs: DataFrame, terms: str = "terms",
+                          out: str = "tfs") -> DataFrame:
+    """Per-document term frequencies computed inside the row.
+
+    The term array is sorted once and cut into runs of equal terms, so
+    ``out`` is an array of (term, tf) with one entry per distinct term.
+    Corpus counts then shuffle only per-task partial aggregates keyed by
+    term, instead of first shuffling every distinct (document, term) pair.
+    """
+    d = docs.withColumn("_s", F.sort_array(terms))
+    return d.withColumn(out, F.when(F.size("_s") > 0, F.expr(_RUN_LENGTHS))).drop("_s")
+
+
 def term_counts(docs: DataFrame, terms: str = "terms") -> DataFrame:
-    """(doc_id, term, tf) — one row per distinct term per document."""
-    return (explode_terms(docs, terms)
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(doc_id, term, tf) — one row per distinct term per document, no shuffle."""
+    d = with_term_frequencies(docs.select("doc_id", terms), terms, "_tfs")
+    return explode_terms(d, "_tfs", "_t").select("doc_id", "_t.term", "_t.tf")
 
 
 def ngram_counts(docs: DataFrame, max_n: int = 2) -> DataFrame:
@@ -98,7 +121,11 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, max_n: int = 1) -> DataFrame:
-    """Raw tf x smoothed idf = ln((1 + N) / (1 + df)) + 1."""
+    """Raw tf x smoothed idf = ln((1 + N) / (1 + df)) + 1.
+
+    Per-document tf needs no shuffle; the document frequency is one
+    partial aggregate on the term, joined back on the term.
+    """
     d = with_ngrams(tokenize(docs), max_n=max_n)
     per_doc = term_counts(d)
     n_docs = docs.count()
