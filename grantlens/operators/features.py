@@ -1,9 +1,10 @@
 """Encodings, training matrix, split, scaling, weights.
 
 Group statistics and code tables are one row per category value; they
-join the application rows on their key, and Spark (AQE) broadcasts them
-when their measured size is under the broadcast threshold, else runs a
-sort-merge join with skew splitting.
+join the application rows on their key.  Each is broadcast when its
+measured size is under the broadcast ceiling (``broadcast_if_small``),
+so the large side is never shuffled on a possibly hot category key;
+beyond the ceiling Spark runs a sort-merge join with skew splitting.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from grantlens.functions.cleaning import log1p_of, value_per_household_serve
 from grantlens.operators import stats
+from grantlens.session import broadcast_if_small
 
 # The 12 model features in their fixed order.
 FEATURES = ["d_enc", "m_enc", "p_enc", "Anio_int", "Log_H", "Log_V", "VxH",
@@ -46,7 +48,7 @@ def _coded_stats(apps: DataFrame):
     ms = ms.withColumn("m_enc", (F.row_number().over(Window.orderBy("Municipio")) - 1).cast("int"))
     ps = ps.withColumn("p_enc", (F.row_number().over(Window.orderBy("Programa")) - 1).cast("int"))
     dc = codes(apps, "Departamento", "d_enc")
-    return ms, ps, dc
+    return broadcast_if_small(ms), broadcast_if_small(ps), broadcast_if_small(dc)
 
 
 def with_history(apps: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def with_prior_history(apps: DataFrame) -> DataFrame:
     program history likewise on (Programa, year); codes as in E1.  Rows in
     a key's first year have no history (NULL) and drop in P8.
     """
-    _, _, dc = _coded_stats(apps)
+    dc = broadcast_if_small(codes(apps, "Departamento", "d_enc"))
     ms = stats.municipality_stats(apps).select("Municipio").withColumn(
         "m_enc", (F.row_number().over(Window.orderBy("Municipio")) - 1).cast("int"))
     ps = stats.program_stats(apps).select("Programa").withColumn(
@@ -81,6 +83,8 @@ def with_prior_history(apps: DataFrame) -> DataFrame:
     ph = stats.prior_history(apps, "Programa").select(
         "Programa", "Anio_int", F.col("prior_ap").alias("prog_ap"),
         F.col("prior_hh").alias("prog_hh"))
+    mh, ph = broadcast_if_small(mh), broadcast_if_small(ph)
+    ms, ps = broadcast_if_small(ms), broadcast_if_small(ps)
     return (apps.join(mh, ["Municipio", "Anio_int"], "left")
             .join(ph, ["Programa", "Anio_int"], "left")
             .join(ms, "Municipio", "left").join(ps, "Programa", "left")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantlens.session import broadcast_if_small
+
 # The corpus columns and the letter-run token pattern.
 CORPUS_COLUMNS = ("Programa", "Estado", "Municipio", "Departamento")
 TOKEN_PATTERN = r"\p{L}+"
@@ -132,7 +134,7 @@ def tfidf(docs: DataFrame, max_n: int = 1) -> DataFrame:
     df_ = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df_.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df")))
                               + F.lit(1.0)).alias("idf"))
-    return (per_doc.join(idf, "term")
+    return (per_doc.join(broadcast_if_small(idf), "term")
             .select("doc_id", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf")))
 
 

@@ -91,15 +91,33 @@ def broadcast_threshold(spark: SparkSession) -> int:
     return int(raw)
 
 
-def broadcast_if_within(df, row_bytes: int):
-    """Broadcast ``df`` only when its counted size fits Spark's ceiling.
-
-    The bound is proven by counting rows (one cheap job) times a per-row
-    width; past the ceiling the plain join is returned and Spark plans a
-    sort-merge join (AQE may still convert it at runtime).
+def broadcast_if_small(df):
+    """Broadcast ``df`` only when its measured size fits Spark's ceiling.
+
+    Lookup tables (statistics per category, known category values, code
+    and cluster tables) are bounded by the number of categories, not by
+    records, but that bound depends on the data, so it is measured: one
+    job counts the rows and sums the bytes of every string column of the
+    persisted ``df`` (the join then reads that cached result).  Each row
+    also counts 8 bytes per field plus 48 bytes of row header and hash
+    table entry.  Past the ceiling the cache is released and the plain
+    join is returned: Spark plans a sort-merge join with AQE skew
+    splitting.
     """
     from pyspark.sql import functions as F
+    from pyspark.sql import types as T
     limit = broadcast_threshold(df.sparkSession)
-    if limit > 0 and df.count() * row_bytes <= limit:
+    fields = df.schema.fields
+    if limit <= 0 or any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+                         for f in fields):
+        return df
+    strings = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    df = df.persist()
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).alias(f"_b{i}")
+                   for i, c in enumerate(strings)]).first()
+    size = row["_n"] * (48 + 8 * len(fields)) + sum(row[f"_b{i}"] for i in range(len(strings)))
+    if size <= limit:
         return F.broadcast(df)
+    df.unpersist()
     return df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.functions.cleaning import clean_applications
-from grantlens.session import broadcast_if_within, ensure_parallelism
+from grantlens.session import broadcast_if_small, ensure_parallelism
 
 # Status text written for open orders, chosen by key % 4.
 OPEN_ORDER_STATES = ["Apto con Subsidio Vencido", "Renuncia", "Revocado", "Rechazado"]
@@ -20,11 +20,6 @@ OPEN_ORDER_STATES = ["Apto con Subsidio Vencido", "Renuncia", "Revocado", "Recha
 SELECTABLE_MODELS = ["Logistic Regression", "Random Forest", "XGBoost", "Red MLP"]
 
 
-# Width of one customer/nation/region row in a broadcast hash table
-# (keys, segment, names and hash-map overhead), for the size check.
-GEO_ROW_BYTES = 96
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -57,13 +52,13 @@ def applications_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n_lines")))
 
     # Dimension chain first: nation/region are tiny and broadcast by size.
-    # The chain is the build side of the join with orders when its counted
+    # The chain is the build side of the join with orders when its measured
     # size fits the broadcast ceiling (Spark's own estimate of a join
     # output is a product of sizes, which would pick orders instead);
     # beyond it both sides shuffle on the customer key.
     geo = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
            .join(region, nation.n_regionkey == region.r_regionkey))
-    geo = broadcast_if_within(geo, GEO_ROW_BYTES)
+    geo = broadcast_if_small(geo)
     base = (orders.join(geo, orders.o_custkey == geo.c_custkey)
             .join(lines, orders.o_orderkey == lines.l_orderkey, "left"))
 

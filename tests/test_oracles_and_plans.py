@@ -49,3 +49,28 @@ def test_scan_pruning_and_pushdown(spark):
     assert "lineitem" not in plan
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT)" in plan
     assert "o_totalprice" not in plan.split("orders.parquet")[0].split("ReadSchema")[-1] or True
+
+
+def _join_counts(df):
+    import re
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {j: len(re.findall(j, plan)) for j in ("BroadcastHashJoin", "SortMergeJoin")}
+
+
+def test_lookup_joins_broadcast_only_within_ceiling(spark):
+    """Category lookups broadcast when measured small; past the ceiling
+    they fall back to sort-merge joins and the results do not change."""
+    import __spark_entry__ as E
+    qs = E.queries()
+    keys = ["training_matrix", "validate_requests", "serving_features", "tfidf"]
+    for k in keys:
+        assert _join_counts(qs[k](spark, SF_SMALL))["SortMergeJoin"] == 0, k
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        for k in keys:
+            assert _join_counts(qs[k](spark, SF_SMALL))["SortMergeJoin"] >= 1, k
+        res = _oracle_check().compare(spark, SF_SMALL, keys, verbose=False)
+        assert all(v[0] == "ok" for v in res.values()), res
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
