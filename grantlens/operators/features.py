@@ -48,7 +48,7 @@ def _coded_stats(apps: DataFrame):
     ms = ms.withColumn("m_enc", (F.row_number().over(Window.orderBy("Municipio")) - 1).cast("int"))
     ps = ps.withColumn("p_enc", (F.row_number().over(Window.orderBy("Programa")) - 1).cast("int"))
     dc = codes(apps, "Departamento", "d_enc")
-    return broadcast_if_small(ms), broadcast_if_small(ps), broadcast_if_small(dc)
+    return tuple(broadcast_if_small(ms, ps, dc))
 
 
 def with_history(apps: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def with_prior_history(apps: DataFrame) -> DataFrame:
     program history likewise on (Programa, year); codes as in E1.  Rows in
     a key's first year have no history (NULL) and drop in P8.
     """
-    dc = broadcast_if_small(codes(apps, "Departamento", "d_enc"))
+    dc = codes(apps, "Departamento", "d_enc")
     ms = stats.municipality_stats(apps).select("Municipio").withColumn(
         "m_enc", (F.row_number().over(Window.orderBy("Municipio")) - 1).cast("int"))
     ps = stats.program_stats(apps).select("Programa").withColumn(
@@ -83,8 +83,7 @@ def with_prior_history(apps: DataFrame) -> DataFrame:
     ph = stats.prior_history(apps, "Programa").select(
         "Programa", "Anio_int", F.col("prior_ap").alias("prog_ap"),
         F.col("prior_hh").alias("prog_hh"))
-    mh, ph = broadcast_if_small(mh), broadcast_if_small(ph)
-    ms, ps = broadcast_if_small(ms), broadcast_if_small(ps)
+    mh, ph, ms, ps, dc = broadcast_if_small(mh, ph, ms, ps, dc)
     return (apps.join(mh, ["Municipio", "Anio_int"], "left")
             .join(ph, ["Programa", "Anio_int"], "left")
             .join(ms, "Municipio", "left").join(ps, "Programa", "left")

@@ -91,33 +91,45 @@ def broadcast_threshold(spark: SparkSession) -> int:
     return int(raw)
 
 
-def broadcast_if_small(df):
-    """Broadcast ``df`` only when its measured size fits Spark's ceiling.
+def broadcast_if_small(*dfs):
+    """Broadcast each frame only when its measured size fits Spark's ceiling.
 
     Lookup tables (statistics per category, known category values, code
     and cluster tables) are bounded by the number of categories, not by
     records, but that bound depends on the data, so it is measured: one
-    job counts the rows and sums the bytes of every string column of the
-    persisted ``df`` (the join then reads that cached result).  Each row
-    also counts 8 bytes per field plus 48 bytes of row header and hash
-    table entry.  Past the ceiling the cache is released and the plain
-    join is returned: Spark plans a sort-merge join with AQE skew
-    splitting.
+    job counts the rows and sums the bytes of every string column of all
+    given frames (persisted first, so the joins then read those cached
+    results).  Each row also counts 8 bytes per field plus 48 bytes of
+    row header and hash table entry.  A frame past the ceiling has its
+    cache released and is returned as is: Spark plans a sort-merge join
+    with AQE skew splitting.  Returns one frame or a list, like the input.
     """
+    from functools import reduce
+
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
-    limit = broadcast_threshold(df.sparkSession)
-    fields = df.schema.fields
-    if limit <= 0 or any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-                         for f in fields):
-        return df
-    strings = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    df = df.persist()
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).alias(f"_b{i}")
-                   for i, c in enumerate(strings)]).first()
-    size = row["_n"] * (48 + 8 * len(fields)) + sum(row[f"_b{i}"] for i in range(len(strings)))
-    if size <= limit:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
+    limit = broadcast_threshold(dfs[0].sparkSession)
+    out = list(dfs)
+    measures = []
+    for i, df in enumerate(dfs):
+        fields = df.schema.fields
+        if limit <= 0 or any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+                             for f in fields):
+            continue
+        strings = [F.coalesce(F.sum(F.octet_length(F.col(f.name))), F.lit(0))
+                   for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+        out[i] = df.persist()
+        measures.append(out[i].agg(
+            F.lit(i).alias("i"),
+            (F.count(F.lit(1)) * (48 + 8 * len(fields))
+             + reduce(lambda a, b: a + b, strings, F.lit(0))).cast("long").alias("bytes")))
+    if measures:
+        sizes = {r["i"]: r["bytes"] for r in
+                 reduce(lambda a, b: a.unionByName(b), measures).collect()}  # one row per frame
+        for i, size in sizes.items():
+            if size <= limit:
+                out[i] = F.broadcast(out[i])
+            else:
+                out[i].unpersist()
+                out[i] = dfs[i]
+    return out[0] if len(dfs) == 1 else out
