@@ -131,13 +131,19 @@ def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "app_id",
                 for r in c2.where(cond).select(label, "_p", "_before", "_c").collect()}
 
     length = step
+    # One job: counts per (class, prefix), the class totals over them, and
+    # the prefix holding each class's cut point (one row per class).
     counts = (d.groupBy(label, F.substring("_h", 1, length).alias("_p"))
-              .agg(F.count(F.lit(1)).alias("_c")).persist())
-    totals = {r[label]: r["n"] for r in
-              counts.groupBy(label).agg(F.sum("_c").alias("n")).collect()}
-    need = {c: (n * test_num + test_den - 1) // test_den for c, n in totals.items()}
-    found = boundary(counts, need)
-    counts.unpersist()
+              .agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(label).orderBy("_p")
+    n_c = F.sum("_c").over(Window.partitionBy(label))
+    need_k = F.expr(f"div(_n * {int(test_num)} + {int(test_den) - 1}, {int(test_den)})")
+    cut = (counts.withColumn("_n", n_c).withColumn("_k", need_k)
+           .withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+           .where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
+           .select(label, "_p", "_before", "_c", "_k").collect())
+    need = {r[label]: r["_k"] for r in cut}
+    found = {r[label]: (r["_p"], r["_before"], r["_c"]) for r in cut}
     prefix = {c: found[c][0] for c in found}
     need = {c: need[c] - found[c][1] for c in found}
     size = {c: found[c][2] for c in found}
