@@ -74,3 +74,19 @@ def test_lookup_joins_broadcast_only_within_ceiling(spark):
         assert all(v[0] == "ok" for v in res.values()), res
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_single_partition_exchanges_only_above_aggregates(spark):
+    """No global window or sort gathers raw rows into one task: every
+    single-partition exchange reads the output of an aggregate."""
+    import __spark_entry__ as E
+    qs = E.queries()
+    skip = ("Project", "AQEShuffleRead", "InputAdapter", "WholeStageCodegen", "Filter")
+    for k in sorted(E.oracle_sql()):
+        lines = qs[k](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, ln in enumerate(lines):
+            if "Exchange SinglePartition" not in ln:
+                continue
+            below = [x.strip(" :+-*()0123456789") for x in lines[i + 1:]]
+            child = next(x for x in below if not x.startswith(skip))
+            assert "Aggregate" in child, (k, ln.strip(), child[:120])
