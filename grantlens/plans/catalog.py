@@ -226,11 +226,20 @@ def q_profile_standardized(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- validation / scoring
+_VALIDATED: dict[tuple, DataFrame] = {}
+
+
 def _validated(spark, sf_dir):
-    apps = _apps(spark, sf_dir)
-    b = stats.dataset_bounds(apps).first()
-    return validation.validate_requests(_requests(spark, sf_dir), apps,
-                                        int(b["anio_min"]), int(b["anio_max"]))
+    """Requests with their first failing check, built once per session and
+    data folder: its year bounds and measured category lookups are shared
+    by the six validation and scoring keys."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VALIDATED:
+        apps = _apps(spark, sf_dir)
+        b = stats.dataset_bounds(apps).first()
+        _VALIDATED[key] = validation.validate_requests(_requests(spark, sf_dir), apps,
+                                                       int(b["anio_min"]), int(b["anio_max"]))
+    return _VALIDATED[key]
 
 
 @query("validate_requests")
