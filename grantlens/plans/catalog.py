@@ -232,8 +232,10 @@ _VALIDATED: dict[tuple, DataFrame] = {}
 def _validated(spark, sf_dir):
     """Requests with their first failing check, built once per session and
     data folder: its year bounds and measured category lookups are shared
-    by the six validation and scoring keys."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    by the six validation and scoring keys.  The broadcast decisions depend
+    on the ceiling, so it is part of the key."""
+    from grantlens.session import broadcast_threshold
+    key = (spark.sparkContext.applicationId, sf_dir, broadcast_threshold(spark))
     if key not in _VALIDATED:
         apps = _apps(spark, sf_dir)
         b = stats.dataset_bounds(apps).first()
