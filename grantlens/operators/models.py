@@ -144,22 +144,53 @@ def permute_column(df: DataFrame, col: str, key: str = "app_id", seed: int = 7,
     return d.withColumn(col, rotated).drop("_h", "_b")
 
 
+def permuted_variants(df: DataFrame, features=FEATURES, key: str = "app_id", seed: int = 7,
+                      bucket_rows: int = 1024) -> DataFrame:
+    """The rows once as they are and once per feature with that feature permuted.
+
+    Every feature uses the rotation of ``permute_column`` (same buckets,
+    same order), and all rotated columns come out of one window pass.
+    ``_variant`` is ``__base__`` or the permuted feature's name.
+    """
+    n = df.count()
+    buckets = max(1, n // bucket_rows)
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    d = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    w = Window.partitionBy("_b").orderBy("_h", key)
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keep = [c for c in df.columns if c not in features]
+    d = d.select(*keep, *features,
+                 *[F.coalesce(F.lead(c, 1).over(w), F.first(c).over(wall)).alias(f"_rot_{c}")
+                   for c in features])
+    variants = [F.struct(F.lit(BASE_VARIANT).alias("_variant"), *[F.col(c) for c in features])]
+    for c in features:
+        variants.append(F.struct(F.lit(c).alias("_variant"),
+                                 *[(F.col(f"_rot_{x}") if x == c else F.col(x)).alias(x)
+                                   for x in features]))
+    return d.select(*keep, F.explode(F.array(*variants)).alias("_v")).select(*keep, "_v.*")
+
+
+BASE_VARIANT = "__base__"
+
+
 def permutation_importance(model: PipelineModel, test: DataFrame, features=FEATURES,
                            seed: int = 7) -> DataFrame:
-    """M8: AUC drop when one feature is shuffled (model-agnostic)."""
-    from grantlens.operators.evaluation import auc
+    """M8: AUC drop when one feature is shuffled (model-agnostic).
 
-    spark = test.sparkSession
-
-    def auc_of(df):
-        s = score(model, df).withColumn("modelo", F.lit("m"))
-        return float(auc(s, LABEL, "prob", "modelo").first()["auc"] or 0.0)
+    One job: the test rows fan out to the unpermuted variant plus one per
+    feature, are scored once, and reduce to score-bin counts per variant;
+    only the per-variant AUCs (one row per feature) reach the driver.
+    """
+    from grantlens.operators.evaluation import auc
 
-    base = auc_of(test)
-    rows = []
-    for c in features:
-        rows.append((c, base, auc_of(permute_column(test, c, seed=seed))))
-    out = spark.createDataFrame(rows, "feature string, base_auc double, permuted_auc double")
+    scored = score(model, permuted_variants(test, features, seed=seed),
+                   keep=(LABEL, "_variant"))
+    aucs = {r["_variant"]: float(r["auc"] or 0.0)
+            for r in auc(scored, LABEL, "prob", "_variant").collect()}
+    base = aucs[BASE_VARIANT]
+    rows = [(c, base, aucs[c]) for c in features]
+    out = test.sparkSession.createDataFrame(
+        rows, "feature string, base_auc double, permuted_auc double")
     return out.withColumn("importance", F.col("base_auc") - F.col("permuted_auc"))
 
 
