@@ -40,8 +40,9 @@ def get_session(master: str | None = None, app_name: str = "grantlens",
 def shared_dir(spark: SparkSession) -> str:
     """Folder visible to every executor, taken from ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) a fresh
-    folder under the system temp dir is created and registered.
+    The cluster names it.  Only in local mode (tests) is a fresh folder
+    under the system temp dir created and registered when it is unset; on
+    a cluster an unset value is an error, never a machine-local folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -52,6 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local"):
+        # A machine-local folder is not visible to other executors.
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                           "(HDFS/S3/ABFS); materialized tables and checkpoints go there")
     local = tempfile.mkdtemp(prefix="grantlens-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
