@@ -82,13 +82,8 @@ def evaluate(td: TrainingData, names=tuple(models.MODEL_SPECS)) -> DataFrame:
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
-    out = classification_metrics(allp, "label", "prob", "modelo")
-    # The MLP's class rule is strict (> 0.5); recompute its confusion counts.
-    if "Red MLP" in names:
-        mlp = classification_metrics(allp.where(F.col("modelo") == "Red MLP"), "label", "prob",
-                                     "modelo", inclusive=False)
-        out = out.where(F.col("modelo") != "Red MLP").unionByName(mlp)
-    return out
+    # One pass; the MLP's class rule is strict (> 0.5), the others' >= 0.5.
+    return classification_metrics(allp, "label", "prob", "modelo", strict_groups=("Red MLP",))
 
 
 def ablation(td: TrainingData) -> DataFrame:
