@@ -64,3 +64,40 @@ def test_load_applications_csv_and_parquet(spark, tmp_path):
     df2 = load_applications(spark, pq)
     assert df2.columns[0] == "Departamento" and len(df2.columns) == 10
     assert df2.select(F.col("Anio_real")).first()[0] == 2004.5
+
+
+def test_shared_dir_requires_checkpoint_dir_on_a_cluster():
+    """Outside local mode an unset spark.checkpoint.dir is an error, never a
+    machine-local folder; a configured folder is used as given."""
+    import pytest
+
+    from grantlens.session import shared_dir
+
+    class Conf:
+        def __init__(self, v):
+            self.v = v
+
+        def get(self, key, default=None):
+            return self.v if key == "spark.checkpoint.dir" else default
+
+    class Ctx:
+        master = "yarn"
+
+        def __init__(self):
+            self.dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        def __init__(self, v):
+            self.conf, self.sparkContext = Conf(v), Ctx()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session(None))
+    s = Session("hdfs://nn/shared/ckpt/")
+    assert shared_dir(s) == "hdfs://nn/shared/ckpt"
+    assert s.sparkContext.dir == "hdfs://nn/shared/ckpt/"
