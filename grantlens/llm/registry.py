@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from grantlens.llm.bpe import op8_bpe
+from grantlens.llm.quality import op9_quality
+from grantlens.llm.secrets import op3_secrets
 from grantlens.llm.token_counts import op6_token_counts
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op6_token_counts": op6_token_counts,
     "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
