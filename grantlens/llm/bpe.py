@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm.common import table, text_chunks
+from grantlens.llm.common import map_arrow, table, text_chunks
 from grantlens.session import ensure_parallelism
 
 #: The code points that count as white space in the pattern.
@@ -205,7 +205,7 @@ def encode_texts(df: DataFrame, key: str, text: str, ranks_path: str | None = No
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = ensure_parallelism(rows).mapInArrow(run, f"key {kind}, ids array<int>, decoded binary")
+    out = map_arrow(ensure_parallelism(rows), run, f"key {kind}, ids array<int>, decoded binary")
     return out.withColumnRenamed("key", key)
 
 

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from grantlens.llm.bpe import op8_bpe
+from grantlens.llm.oracles import OP7_WARC
 from grantlens.llm.quality import op9_quality
 from grantlens.llm.secrets import op3_secrets
 from grantlens.llm.token_counts import op6_token_counts
+from grantlens.llm.warc import op7_warc
 
 QUERIES = {
     "op3_secrets": op3_secrets,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": OP7_WARC,
+}
