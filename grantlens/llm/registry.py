@@ -6,10 +6,12 @@ from grantlens.llm.bpe import op8_bpe
 from grantlens.llm.oracles import OP7_WARC
 from grantlens.llm.quality import op9_quality
 from grantlens.llm.secrets import op3_secrets
+from grantlens.llm.substring_dedup import op1_substring_dedup
 from grantlens.llm.token_counts import op6_token_counts
 from grantlens.llm.warc import op7_warc
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_secrets": op3_secrets,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
