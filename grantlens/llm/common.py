@@ -32,16 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with workers that can import this package where it lies at the same path.
+def workers_import(spark: SparkSession) -> None:
+    """Let the Python workers import this package where it lies at the same path.
 
     Elsewhere the package has to be installed or passed by ``--py-files``.
     """
-    env = df.sparkSession.sparkContext.environment
+    env = spark.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    workers_import(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from grantlens.llm.bpe import op8_bpe
+from grantlens.llm.ctw import op2_ctw
 from grantlens.llm.oracles import OP7_WARC
 from grantlens.llm.quality import op9_quality
 from grantlens.llm.secrets import op3_secrets
@@ -12,6 +13,7 @@ from grantlens.llm.warc import op7_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ctw": op2_ctw,
     "op3_secrets": op3_secrets,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
