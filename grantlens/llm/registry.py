@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from grantlens.llm.bpe import op8_bpe
 from grantlens.llm.ctw import op2_ctw
+from grantlens.llm.decontam import op10_decontamination
 from grantlens.llm.oracles import OP7_WARC
 from grantlens.llm.quality import op9_quality
 from grantlens.llm.secrets import op3_secrets
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
