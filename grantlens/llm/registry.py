@@ -5,6 +5,7 @@ from __future__ import annotations
 from grantlens.llm.bpe import op8_bpe
 from grantlens.llm.ctw import op2_ctw
 from grantlens.llm.decontam import op10_decontamination
+from grantlens.llm.jaccard import op4_ngram_jaccard
 from grantlens.llm.licenses import op5_licenses
 from grantlens.llm.oracles import OP7_WARC
 from grantlens.llm.quality import op9_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ctw": op2_ctw,
     "op3_secrets": op3_secrets,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
