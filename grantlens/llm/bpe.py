@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm.common import map_arrow, table, text_chunks
+from grantlens.llm.common import keyed_schema, map_arrow, table, text_chunks
 from grantlens.session import ensure_parallelism
 
 #: The code points that count as white space in the pattern.
@@ -204,18 +204,21 @@ def encode_texts(df: DataFrame, key: str, text: str, ranks_path: str | None = No
                     names=["key", "ids", "decoded"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    out = map_arrow(ensure_parallelism(rows), run, f"key {kind}, ids array<int>, decoded binary")
+    out = map_arrow(ensure_parallelism(rows), run, keyed_schema(rows, "key", "ids array<int>, decoded binary"))
     return out.withColumnRenamed("key", key)
 
 
+def token_digests(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256, n_bytes) of every text."""
+    return encode_texts(df, key, text).select(
+        key, F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), F.octet_length("decoded").cast("long").alias("n_bytes"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes of every document."""
-    out = encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                      F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                      F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-                      F.octet_length("decoded").cast("long").alias("n_bytes"))
+    return token_digests(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def digest(ids: list[int]) -> str:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -44,7 +46,17 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def keyed_schema(df: DataFrame, key: str, rest: str) -> T.StructType:
+    """A column ``key`` of the type that it has in ``df``, then the columns ``rest``."""
+    return T.StructType([T.StructField("key", df.schema[key].dataType), *T.StructType.fromDDL(rest).fields])
+
+
+def packed(df: DataFrame, text: str) -> DataFrame:
+    """(row, text): every column inside one, so that no name can clash; unpack by ``select("row.*")``."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text).alias("text"))
+
+
+def map_arrow(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     workers_import(df.sparkSession)
     return df.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm.common import LOWER, RangeHash, map_arrow, table, text_chunks, within, word_spans
+from grantlens.llm.common import LOWER, RangeHash, keyed_schema, map_arrow, table, text_chunks, within, word_spans
 from grantlens.session import ensure_parallelism
 
 RARE_RATE = 1e-8
@@ -236,8 +236,7 @@ def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: s
     """(key, item, score, start, end): the test items that each document holds, with the words they span."""
     spark = df.sparkSession
     docs = ensure_parallelism(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((df, key), (items, item_key)))
-    schema = f"key {kind}, item {item_kind}, score double, start int, end int"
+    schema = keyed_schema(df, key, f"item {items.schema[item_key].dataType.simpleString()}, score double, start int, end int")
     out = spark.createDataFrame([], schema)
     for ids, seeds in seeds_of(docs, items, item_key, item_text):
         shared = spark.sparkContext.broadcast((ids, seeds))
@@ -260,7 +259,6 @@ def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: s
 def without_leaks(df: DataFrame, text: str, items: DataFrame, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, whose text holds no test item; nothing is shuffled."""
     at = df.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     for _, seeds in seeds_of(df.select(F.col(text).alias("text")), items, item_key, item_text):
         shared = df.sparkSession.sparkContext.broadcast(seeds)
 
@@ -272,7 +270,7 @@ def without_leaks(df: DataFrame, text: str, items: DataFrame, item_key: str = "i
                         clean[i + found[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        df = map_arrow(df, run, schema)
+        df = map_arrow(df, run, df.schema)
     return df
 
 

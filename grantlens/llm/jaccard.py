@@ -286,6 +286,18 @@ def jaccard_components(df: DataFrame, key: str, text: str, size: int = SHINGLE,
         F.coalesce("component", "class").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, key: str, text: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` (all columns) that stay when one document of each group does: that of the smallest id.
+
+    Of repeated rows one stays; rows without an id link with nothing and stay.
+    """
+    groups = jaccard_components(df, key, text, size, percent)
+    first = groups.where(F.col("component_id") == F.col(key)).select(F.col("component_id").alias("first")).distinct()
+    here = F.col(f"`{key}`")
+    kept = df.where(here.isNotNull()).join(first, here.cast("long") == F.col("first"), "left_semi").dropDuplicates([key])
+    return kept.unionByName(df.where(here.isNull()))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text").select(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm.common import map_arrow, table, text_chunks, within, word_spans
+from grantlens.llm.common import keyed_schema, map_arrow, table, text_chunks, within, word_spans
 from grantlens.llm.decontam import _HASH, _OTHER, BATCH, Members, words_in, words_of_texts
 from grantlens.llm.license_texts import TEMPLATES
 from grantlens.llm.substring_dedup import leftmost_min
@@ -164,8 +164,8 @@ def find_licenses(df: DataFrame, key: str, text: str, templates=TEMPLATES) -> Da
                          pa.array(matched, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                         names=["key", "license", "coverage", "matched_words", "start", "end"])
 
-    kind = df.schema[key].dataType.simpleString()
-    out = map_arrow(docs, run, f"key {kind}, license string, coverage double, matched_words long, start long, end long")
+    out = map_arrow(docs, run, keyed_schema(
+        df, key, "license string, coverage double, matched_words long, start long, end long"))
     return out.withColumnRenamed("key", key)
 
 

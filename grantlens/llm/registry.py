@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from grantlens.llm.bpe import op8_bpe
 from grantlens.llm.ctw import op2_ctw
 from grantlens.llm.decontam import op10_decontamination
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm.common import table
+from grantlens.llm.common import packed, table
 from grantlens.llm.quality import let
 from grantlens.session import ensure_parallelism
 
@@ -155,6 +155,16 @@ def redact(text: Column, spans: Column) -> Column:
         spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))))
 
 
+def without_secrets(df: DataFrame, text: str, n_chars: str | None = None) -> DataFrame:
+    """The rows of ``df`` (all columns) with the spans of their text replaced; ``n_chars`` is a column with its length."""
+    found = find_secrets(packed(df, text), "row", "text")
+    clean = found.select("row", redact(F.col("text"), F.col("spans")).alias("clean"), (F.size("spans") > 0).alias("hit"))
+    new = {text: F.when(F.col("hit"), F.col("clean")).otherwise(F.col("row")[text])}
+    if n_chars:
+        new[n_chars] = F.when(F.col("hit"), F.length("clean").cast(df.schema[n_chars].dataType)).otherwise(F.col("row")[n_chars])
+    return clean.select(*(new.get(c, F.col("row")[c]).alias(c) for c in df.columns))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy of every document."""
     found = find_secrets(table(spark, sf_dir, "documents"), "doc_id", "text")

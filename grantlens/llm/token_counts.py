@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.llm.bpe import CACHE, KEPT, pattern, pieces
-from grantlens.llm.common import map_arrow, table, text_chunks
+from grantlens.llm.common import keyed_schema, map_arrow, table, text_chunks
 from grantlens.session import ensure_parallelism
 
 #: More than any merge rank.
@@ -236,8 +236,7 @@ def count_tokens(df: DataFrame, key: str, text: str, budget: int = 512, path: st
                     names=["key", "n_bytes", "n_tokens", "budget_bytes"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    out = map_arrow(ensure_parallelism(rows), run, f"key {kind}, n_bytes long, n_tokens long, budget_bytes long")
+    out = map_arrow(ensure_parallelism(rows), run, keyed_schema(rows, "key", "n_bytes long, n_tokens long, budget_bytes long"))
     return out.withColumnRenamed("key", key)
 
 
