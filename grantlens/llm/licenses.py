@@ -96,7 +96,7 @@ class Index:
         start, end, _ = word_spans(data, off, _OTHER)
         points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         out: list[tuple] = []
-        for t, k, matched, a, b in sorted(rows, key=lambda r: (r[0], r[3], -r[4], -r[2] / len(self.words[r[1]]), r[1])):
+        for t, k, matched, a, b in sorted(rows, key=lambda r: (r[0], r[3], -r[4], -r[2], -r[2] / len(self.words[r[1]]), r[1])):
             if out and out[-1][0] == t and b <= out[-1][-1]:
                 continue
             out.append((t, k, matched, a, b))
