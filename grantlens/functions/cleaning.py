@@ -9,9 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What counts as a number; a plain cast would also take a type suffix such as in '12d'.
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+
+
+def _number(text: Column) -> Column:
+    """The number in a text, or NULL: junk, blanks, 'nan', and what is not finite as a double."""
+    x = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def _zero_if_missing(x: Column) -> Column:
-    # try_cast gives NULL for junk and NaN for 'nan'; both become 0.
-    return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x)
+    return F.coalesce(x, F.lit(0.0))
 
 
 def year_half_even(col: str | Column) -> Column:
@@ -20,15 +29,23 @@ def year_half_even(col: str | Column) -> Column:
 
 
 def lenient_int(col: str | Column) -> Column:
-    """Lenient number -> 0 when missing/bad, truncated toward zero."""
+    """Lenient number -> 0 when missing/bad/out of range, truncated toward zero."""
     c = F.col(col) if isinstance(col, str) else col
-    return _zero_if_missing(c.cast("string").try_cast("double")).cast("bigint")
+    return F.coalesce(_number(c.cast("string")).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def currency(col: str | Column) -> Column:
     """Strip '$' and ',' then parse; missing/bad -> 0.0."""
     c = F.col(col) if isinstance(col, str) else col
-    return _zero_if_missing(F.regexp_replace(c.cast("string"), r"[$,]", "").try_cast("double"))
+    return _zero_if_missing(_number(F.regexp_replace(c.cast("string"), r"[$,]", "")))
+
+
+def unreadable_numbers(raw: DataFrame) -> DataFrame:
+    """One row: how many non-empty household and value texts are read as 0 because they are no numbers."""
+    def bad(text: Column) -> Column:
+        return F.count_if((F.trim(text) != "") & _number(text).isNull())
+    return raw.agg(bad(F.col("Hogares").cast("string")).alias("hogares"),
+                   bad(F.regexp_replace(F.col("Valor_Asignado").cast("string"), r"[$,]", "")).alias("valor"))
 
 
 def approved_flag(col: str | Column, marker: str = "ASIGNAD") -> Column:

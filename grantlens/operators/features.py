@@ -69,7 +69,7 @@ def with_prior_history(apps: DataFrame) -> DataFrame:
 
     Municipality history comes from ``prior_history`` on (Municipio, year),
     program history likewise on (Programa, year); codes as in E1.  Rows in
-    a key's first year have no history (NULL) and drop in P8.
+    a key's first year have no history and get the serving defaults (J3).
     """
     dc = codes(apps, "Departamento", "d_enc")
     ms = stats.municipality_stats(apps).select("Municipio").withColumn(
@@ -84,10 +84,15 @@ def with_prior_history(apps: DataFrame) -> DataFrame:
         "Programa", "Anio_int", F.col("prior_ap").alias("prog_ap"),
         F.col("prior_hh").alias("prog_hh"))
     mh, ph, ms, ps, dc = broadcast_if_small(mh, ph, ms, ps, dc)
+    rate = F.lit(float(stats.national_rate(apps)))
     return (apps.join(mh, ["Municipio", "Anio_int"], "left")
             .join(ph, ["Programa", "Anio_int"], "left")
             .join(ms, "Municipio", "left").join(ps, "Programa", "left")
-            .join(dc, "Departamento", "left"))
+            .join(dc, "Departamento", "left")
+            .withColumns({"hist_ap": F.coalesce("hist_ap", rate), "prog_ap": F.coalesce("prog_ap", rate),
+                          "hist_hh": F.coalesce("hist_hh", F.lit(DEFAULT_HOUSEHOLDS)),
+                          "prog_hh": F.coalesce("prog_hh", F.lit(DEFAULT_HOUSEHOLDS)),
+                          "n_reg": F.coalesce(F.col("n_reg").cast("double"), F.lit(DEFAULT_RECORDS))}))
 
 
 def training_matrix(apps: DataFrame, id_col: str = "app_id", mode: str = "full") -> DataFrame:

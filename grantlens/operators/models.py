@@ -34,6 +34,8 @@ MODEL_SPECS = {
     "Gradient Boosting": ModelSpec("Gradient Boosting", scaled=False),
     "Red MLP": ModelSpec("Red MLP", scaled=True),
 }
+#: Split candidates per feature: more than the municipality codes of the reference's data (984).
+MAX_BINS = 1024
 # The serving threshold and the MLP's training threshold.
 SERVE_THRESHOLD = 0.5
 MISSING_PROB = 0.5
@@ -63,14 +65,14 @@ def estimator(name: str, n_train_weight: float | None = None, seed: int = 42,
                                   standardization=False)
     if name == "Random Forest":
         return RandomForestClassifier(featuresCol="features", labelCol="label",
-                                      numTrees=iterations or 20, maxDepth=16, maxBins=64,
+                                      numTrees=iterations or 20, maxDepth=30, maxBins=MAX_BINS,
                                       featureSubsetStrategy="sqrt", seed=seed)
     if name == "XGBoost":
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=iterations or 100,
-                             maxDepth=6, stepSize=0.3, maxBins=64, seed=seed)
+                             maxDepth=6, stepSize=0.3, maxBins=MAX_BINS, seed=seed)
     if name == "Gradient Boosting":
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=iterations or 150,
-                             maxDepth=5, stepSize=0.1, maxBins=64, seed=seed)
+                             maxDepth=5, stepSize=0.1, maxBins=MAX_BINS, seed=seed)
     if name == "Red MLP":
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="label",
                                               layers=[len(FEATURES), 128, 64, 32, 2],

@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantlens.plans.materialize import written
 from grantlens.session import broadcast_if_small
 
 # The corpus columns and the letter-run token pattern.
 CORPUS_COLUMNS = ("Programa", "Estado", "Municipio", "Departamento")
 TOKEN_PATTERN = r"\p{L}+"
 NON_LETTERS = r"[^\p{L}]+"
+#: No cap on the vocabulary.
+ALL_TERMS = (1 << 31) - 1
 
 
 def corpus(apps: DataFrame, columns=CORPUS_COLUMNS, id_col: str = "app_id",
@@ -168,12 +171,15 @@ def chi2_top_terms(docs: DataFrame, k: int = 20, **kw) -> DataFrame:
     return chi2_terms(docs, **kw).orderBy(F.col("chi2").desc(), F.col("term")).limit(k)
 
 
-def text_classifiers(docs: DataFrame, label: str = "label", num_features: int = 1 << 16,
-                     seed: int = 42) -> DataFrame:
-    """Naive Bayes, logistic regression, linear SVM on TF-IDF."""
+def text_classifiers(docs: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
+    """Naive Bayes, logistic regression, linear SVM on TF-IDF.
+
+    Every term of the training part has its own feature (no hashing), and
+    the features are fitted and computed once for the three models.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-    from pyspark.ml.feature import HashingTF, IDF
+    from pyspark.ml.feature import IDF, CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     from grantlens.operators.evaluation import classification_metrics
@@ -181,11 +187,12 @@ def text_classifiers(docs: DataFrame, label: str = "label", num_features: int =
 
     d = with_ngrams(tokenize(docs), max_n=2)
     split = stratified_split(d.withColumn("app_id", F.col("doc_id")), label=label)
-    feats = [HashingTF(inputCol="terms", outputCol="tf", numFeatures=num_features),
-             IDF(inputCol="tf", outputCol="features")]
-    train = split.where(F.col("split") == "train").withColumn("lbl", F.col(label).cast("double"))
-    test = split.where(F.col("split") == "test").withColumn("lbl", F.col(label).cast("double"))
-    train = train.persist()
+    split = split.withColumn("lbl", F.col(label).cast("double"))
+    feats = Pipeline(stages=[
+        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=ALL_TERMS),
+        IDF(inputCol="tf", outputCol="features")]).fit(split.where(F.col("split") == "train"))
+    ready = written(feats.transform(split).select(label, "lbl", "split", "features"), "text-features")
+    train, test = (ready.where(F.col("split") == part) for part in ("train", "test"))
     out = []
     models = {
         "Naive Bayes": (NaiveBayes(featuresCol="features", labelCol="lbl"), "probability"),
@@ -195,8 +202,7 @@ def text_classifiers(docs: DataFrame, label: str = "label", num_features: int =
                        "rawPrediction"),
     }
     for name, (est, score_col) in models.items():
-        model = Pipeline(stages=feats + [est]).fit(train)
-        pred = model.transform(test)
+        pred = est.fit(train).transform(test)
         score = vector_to_array(score_col).getItem(1)
         if score_col == "rawPrediction":
             score = F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
@@ -208,29 +214,30 @@ def text_classifiers(docs: DataFrame, label: str = "label", num_features: int =
     return classification_metrics(allp, "label", "prob", "modelo")
 
 
-def word_vectors(docs: DataFrame, size: int = 50, iters: int = 30, min_count: int = 5,
-                 seed: int = 42) -> DataFrame:
-    """Skip-gram word vectors (term, vector array)."""
+def word_vectors(docs: DataFrame, size: int = 50, iters: int = 30, min_count: int = 1,
+                 seed: int = 42, partitions: int = 8) -> DataFrame:
+    """Skip-gram word vectors (term, vector array) of every term.
+
+    ``partitions`` is fixed, not the number of cores: the vectors depend on it.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     d = tokenize(docs)
     # Spark's default (one partition) would train on the whole corpus in one task.
-    parts = docs.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=size, maxIter=iters, minCount=min_count, seed=seed,
-                     numPartitions=max(1, parts), inputCol="tokens", outputCol="vec").fit(d)
+                     numPartitions=partitions, inputCol="tokens", outputCol="vec").fit(d)
     return model.getVectors().select(F.col("word").alias("term"),
                                      vector_to_array("vector").alias("vector"))
 
 
-def topic_model(docs: DataFrame, k: int = 7, max_iter: int = 20, seed: int = 42,
-                vocab_size: int = 1 << 16):
+def topic_model(docs: DataFrame, k: int = 7, max_iter: int = 20, seed: int = 42):
     """CountVectorizer + online LDA; returns (model, vectors, cv_model)."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     d = tokenize(docs)
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab_size).fit(d)
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=ALL_TERMS).fit(d)
     vec = cv.transform(d).persist()
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(vec)
     return lda, vec, cv

@@ -53,7 +53,8 @@ def persistence_forecast(seqs: DataFrame, window: int) -> DataFrame:
 def next_year_forecast(seqs: DataFrame, window: int, year: str = "Anio_int",
                        max_iter: int = 50) -> DataFrame:
     """Linear model on the lag vector; train on earlier target years,
-    predict the latest target year."""
+    predict the latest target year.  Without an earlier target year there is
+    nothing to learn from: the forecasts are NULL."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
@@ -64,7 +65,7 @@ def next_year_forecast(seqs: DataFrame, window: int, year: str = "Anio_int",
     train = data.where(F.col(year) < last)
     test = data.where(F.col(year) == last)
     if train.limit(1).count() == 0:
-        train = data
+        return test.select(*[c for c in seqs.columns if c not in feats], F.lit(None).cast("double").alias("yhat"))
     model = LinearRegression(featuresCol="features", labelCol="y", maxIter=max_iter,
                              regParam=0.0).fit(train)
     return model.transform(test).select(*[c for c in seqs.columns if c not in feats],

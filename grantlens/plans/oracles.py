@@ -38,8 +38,11 @@ apps_raw AS (
 ),
 apps_parsed AS (
   SELECT *,
-         try_cast(Hogares AS DOUBLE) AS _h,
-         try_cast(regexp_replace(Valor_Asignado, '[$,]', '', 'g') AS DOUBLE) AS _v
+         CASE WHEN regexp_matches(Hogares, '^[ ]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ ]*$')
+              THEN try_cast(Hogares AS DOUBLE) END AS _h,
+         CASE WHEN regexp_matches(regexp_replace(Valor_Asignado, '[$,]', '', 'g'),
+                                  '^[ ]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ ]*$')
+              THEN try_cast(regexp_replace(Valor_Asignado, '[$,]', '', 'g') AS DOUBLE) END AS _v
   FROM apps_raw
 ),
 apps AS (
@@ -449,8 +452,13 @@ LEFT JOIN ps ON r.programa = ps.Programa
 _CLASS = ("CASE WHEN {p} >= 0.70 THEN 'APROBADO' WHEN {p} >= 0.45 THEN 'EN RIESGO' "
           "ELSE 'NO RECOMENDADO' END")
 _LEVEL = "CASE WHEN {p} >= 0.70 THEN 'bajo' WHEN {p} >= 0.45 THEN 'medio' ELSE 'alto' END"
-_TENTHS = ("(CAST(CAST(floor(abs(prob_sel - prob_ref) * 1000.0 + 0.5) AS BIGINT) // 10 AS VARCHAR)"
-           " || '.' || CAST(CAST(floor(abs(prob_sel - prob_ref) * 1000.0 + 0.5) AS BIGINT) % 10 AS VARCHAR))")
+# '%.1f' of the exact binary value, ties to even: the gap in points becomes an integer of 52 binary
+# places, whose tenths are compared with the half exactly.
+_TENTHS = """(SELECT CAST(t // 10 AS VARCHAR) || '.' || CAST(t % 10 AS VARCHAR) FROM (
+  SELECT CASE WHEN 20 * m - (2 * k + 1) * 4503599627370496 > 0
+                OR (20 * m = (2 * k + 1) * 4503599627370496 AND k % 2 = 1) THEN k + 1 ELSE k END AS t
+  FROM (SELECT m, (10 * m) // 4503599627370496 AS k FROM (
+    SELECT CAST(floor(abs(prob_sel - prob_ref) * 100.0 * 4503599627370496.0) AS HUGEINT) AS m))))"""
 _INTERP = f"""CASE WHEN abs(prob_sel - prob_ref) < 0.03
        THEN modelo || ' y XGBoost coinciden en la evaluacion — señal robusta.'
      WHEN prob_sel - prob_ref > 0
@@ -515,16 +523,15 @@ conf3 AS (
   SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
                  ELSE 0.0 END AS f1 FROM conf2
 ),
-bins AS (
-  SELECT modelo, CAST(least(greatest(floor(prob * 1000.0), 0), 1000) AS INTEGER) AS b,
-         CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos,
+scores AS (
+  SELECT modelo, prob, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos,
          CAST(sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS DOUBLE) AS neg
   FROM preds GROUP BY 1, 2
 ),
 cum AS (
-  SELECT *, coalesce(sum(neg) OVER (PARTITION BY modelo ORDER BY b
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY modelo ORDER BY prob
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS nb
-  FROM bins
+  FROM scores
 ),
 aucs AS (
   SELECT modelo, sum(pos * (nb + neg * 0.5)) / (sum(pos) * sum(neg)) AS auc FROM cum GROUP BY modelo
@@ -696,9 +703,10 @@ ph AS (
 pm AS (
   SELECT f.app_id, CAST(dcode.d_enc AS DOUBLE) AS d_enc, CAST(mcode.m_enc AS DOUBLE) AS m_enc,
          CAST(pcode.p_enc AS DOUBLE) AS p_enc, CAST(f.Anio_int AS DOUBLE) AS Anio_int,
-         f.Log_H, f.Log_V, f.VxH, mh.hist_ap, mh.hist_hh, CAST(mh.n_reg AS DOUBLE) AS n_reg,
-         ph.prog_ap, ph.prog_hh, f.Aprobado
-  FROM feats f
+         f.Log_H, f.Log_V, f.VxH, coalesce(mh.hist_ap, nat.rate) AS hist_ap,
+         coalesce(mh.hist_hh, 2.0) AS hist_hh, coalesce(CAST(mh.n_reg AS DOUBLE), 1.0) AS n_reg,
+         coalesce(ph.prog_ap, nat.rate) AS prog_ap, coalesce(ph.prog_hh, 2.0) AS prog_hh, f.Aprobado
+  FROM feats f CROSS JOIN (SELECT avg(Aprobado) AS rate FROM feats) nat
   LEFT JOIN mh ON f.Municipio = mh.Municipio AND f.Anio_int = mh.Anio_int
   LEFT JOIN ph ON f.Programa = ph.Programa AND f.Anio_int = ph.Anio_int
   LEFT JOIN mcode ON f.Municipio = mcode.Municipio
