@@ -245,15 +245,28 @@ def profile_standardized(profile: DataFrame, columns=PROFILE_FEATURES,
     return filled.select(out)
 
 
-def serving_features(requests: DataFrame, apps: DataFrame, national_rate: float,
-                     keep=()) -> DataFrame:
+def saved_stats(lookups: dict[str, DataFrame]):
+    """Statistics with codes, and department codes, from lookup tables as they were saved at training."""
+    def coded(category: str, code: str) -> DataFrame:
+        return lookups["category_codes"].where(F.col("category") == category).select(
+            F.col("value").alias(category), F.col("code").alias(code))
+    ms = lookups["municipality_stats"].join(coded("Municipio", "m_enc"), "Municipio", "left")
+    ps = lookups["program_stats"].join(coded("Programa", "p_enc"), "Programa", "left")
+    return tuple(broadcast_if_small(ms, ps, coded("Departamento", "d_enc")))
+
+
+def serving_features(requests: DataFrame, apps: DataFrame | None, national_rate: float,
+                     keep=(), lookups: dict[str, DataFrame] | None = None) -> DataFrame:
     """12 features per request with the serving defaults.
 
+    Statistics and codes come from saved ``lookups`` when they are given (a
+    fitted model must read the codes it was trained with), else from ``apps``.
+
     Unknown categories get code 0 (collides with the first real code, as
     the scoring service does); unknown municipality/program history gets
     the national rate, 2.0 households and 1.0 records.
     """
-    ms, ps, dc = _coded_stats(apps)
+    ms, ps, dc = saved_stats(lookups) if lookups else _coded_stats(apps)
     r = (requests
          .join(dc.withColumnRenamed("Departamento", "departamento"), "departamento", "left")
          .join(ms.withColumnRenamed("Municipio", "municipio"), "municipio", "left")

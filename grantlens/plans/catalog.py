@@ -484,16 +484,20 @@ def q_ablation(spark, sf_dir):
     return training.ablation(training.prepare(spark, sf_dir))
 
 
-def _fitted_serving(spark, sf_dir):
+def _saved_serving(spark, sf_dir):
+    """Paths of the lookups and models that training saves and scoring loads."""
+    from grantlens.session import scratch_path
+    from grantlens.sources import artifacts
+    path = scratch_path(spark, "serving")
+    lookups = artifacts.write_lookups(artifacts.build_lookups(_apps(spark, sf_dir)), f"{path}/lookups")
     td = training.prepare(spark, sf_dir)
-    return {n: training.fitted(td, n) for n in tables.SELECTABLE_MODELS}
+    return lookups, training.save_models(td, f"{path}/models", tables.SELECTABLE_MODELS)
 
 
 @query("batch_score")
 def q_batch_score(spark, sf_dir):
     """G1-G4 with the fitted models on every derived request."""
-    return serving.batch_score(spark, _requests(spark, sf_dir),
-                               _apps(spark, sf_dir), _fitted_serving(spark, sf_dir))
+    return serving.batch_score(spark, _requests(spark, sf_dir), *_saved_serving(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- clustering (rows-only)
@@ -603,7 +607,8 @@ def q_write_lookups(spark, sf_dir):
     """S3: lookups written as parquet in the shared folder, read back."""
     from grantlens.session import scratch_path
     from grantlens.sources import artifacts
-    paths = artifacts.write_lookups(artifacts.build_lookups(_apps(spark, sf_dir)),
+    clusters = clustering.relabeled(*_kmeans(spark, sf_dir))
+    paths = artifacts.write_lookups(artifacts.build_lookups(_apps(spark, sf_dir), clusters),
                                     scratch_path(spark, "lookups"))
     return artifacts.lookup_summary(spark, paths)
 
@@ -612,11 +617,13 @@ def q_write_lookups(spark, sf_dir):
 def q_stream_score(spark, sf_dir):
     """Requests written as files, scored by a streaming query, sink read back."""
     from grantlens.session import scratch_path
+    from grantlens.sources import artifacts
     from grantlens.streaming.scoring import start_stream_score
     base = scratch_path(spark, "stream")
     req = _requests(spark, sf_dir)
     req.write.mode("overwrite").parquet(f"{base}/in")
-    q = start_stream_score(spark, f"{base}/in", req.schema, _apps(spark, sf_dir),
-                           _fitted_serving(spark, sf_dir), f"{base}/out", f"{base}/ckpt")
+    lookups, saved = _saved_serving(spark, sf_dir)
+    q = start_stream_score(spark, f"{base}/in", req.schema, artifacts.read_lookups(spark, lookups),
+                           training.load_models(saved), f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")

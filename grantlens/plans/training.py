@@ -91,7 +91,7 @@ def ablation(td: TrainingData) -> DataFrame:
     history = ["hist_ap", "hist_hh", "n_reg", "prog_ap", "prog_hh"]
     no_hist = [c for c in features.FEATURES if c not in history]
     variants = []
-    full = models.fit("Logistic Regression", td.train, td.bounds)
+    full = fitted(td, "Logistic Regression")
     variants.append(("full", full, td.test))
     nh = models.fit("Logistic Regression", td.train, td.bounds, features=no_hist)
     variants.append(("sin_historial", nh, td.test))

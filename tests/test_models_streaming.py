@@ -56,9 +56,32 @@ def test_missing_model_scores_half(spark, separable):
     assert [(x.prob, x.prediction) for x in r] == [(0.5, 0)]
 
 
+def test_saved_artifacts_score_alike_and_later_rows_change_nothing(spark, tmp_path):
+    from grantlens.plans import serving, training
+    from grantlens.sources import artifacts, tables
+    apps = tables.applications(spark, "/root/testdata/sf0.001").persist()
+    split = features.stratified_split(features.training_matrix(apps))
+    train = split.where(F.col("split") == "train")
+    td = training.TrainingData(split, features.minmax_fit(train))
+    td.fitted = {(n, None): models.fit(n, train, td.bounds, iterations=5) for n in ("Logistic Regression", "XGBoost")}
+    names = ("Logistic Regression", "XGBoost")
+    saved = training.save_models(td, str(tmp_path / "models"), names)
+    paths = artifacts.write_lookups(artifacts.build_lookups(apps), str(tmp_path / "lookups"))
+    req = tables.requests_from_applications(apps)
+    want = sorted(map(tuple, serving.score_requests(
+        req, artifacts.build_lookups(apps), {n: td.fitted[n, None] for n in names}).collect()))
+    got = sorted(map(tuple, serving.batch_score(spark.newSession(), req, paths, saved).collect()))
+    assert got == want and len(want) > 0
+    # A municipality that sorts before all others shifts the codes of today's table, not the saved ones.
+    later = apps.unionByName(apps.limit(1).withColumn("Municipio", F.lit("AAA")))
+    assert features.label_encode(later).where("category = 'Municipio' and code = 0").first()["value"] == "AAA"
+    assert sorted(map(tuple, serving.batch_score(
+        spark, tables.requests_from_applications(later).where(F.col("municipio") != "AAA"), paths, saved).collect())) == want
+
+
 def test_stream_equals_batch(spark, separable, tmp_path):
     from grantlens.plans import serving
-    from grantlens.sources import tables
+    from grantlens.sources import artifacts, tables
     from grantlens.streaming.scoring import start_stream_score
     train, _, bounds = separable
     apps = tables.applications(spark, "/root/testdata/sf0.001").persist()
@@ -70,8 +93,9 @@ def test_stream_equals_batch(spark, separable, tmp_path):
     req = tables.requests_from_applications(apps)
     src = str(tmp_path / "in")
     req.write.parquet(src)
-    batch = serving.batch_score(spark, spark.read.parquet(src), apps, fitted)
-    q = start_stream_score(spark, src, req.schema, apps, fitted, str(tmp_path / "out"),
+    lookups = artifacts.build_lookups(apps)
+    batch = serving.score_requests(spark.read.parquet(src), lookups, fitted)
+    q = start_stream_score(spark, src, req.schema, lookups, fitted, str(tmp_path / "out"),
                            str(tmp_path / "ckpt"))
     q.awaitTermination()
     streamed = spark.read.parquet(str(tmp_path / "out"))
