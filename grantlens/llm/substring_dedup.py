@@ -20,11 +20,12 @@ the index blocks that hold one of its anchors.
 4. The spans of a document are merged from left to right into factors, each
    with the place it copies; the words they cover are removed.
 
-Rows per text are one per anchor (about one in seven words) and, at
-boundaries, one per window.  All counts are pre-aggregated in the map tasks,
-and places are joined to their first occurrence, so a hot passage is split
-like any skewed join.  Contexts and windows are compared by two independent
-64-bit hashes of their words.
+Rows per text are one per anchor (about one in eight words) and, at
+boundaries, one per window; each kind is shuffled once, after a count that is
+pre-aggregated in the map tasks.  Anchors or windows of a hot passage are
+pre-aggregated and joined to their first place, so they are split like any
+skewed join.  Contexts are compared by an anchor's hash and an independent
+hash of all their words (64 bits each), windows by hashes of 64 and 31 bits.
 
 Defined cases: a null or empty text has no words; texts shorter than the
 window keep all words; a null doc_id takes no part, its words are kept;
@@ -40,14 +41,19 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grantlens.llm.common import RangeHash, map_arrow, mix, record_batch, table, text_chunks, within, word_spans
+from grantlens.plans.materialize import written
 from grantlens.session import ensure_parallelism
 
 WINDOW = 20
 #: Words of the runs that serve as anchors; a window holds WINDOW - GRAM + 1 of them.
-GRAM = 8
+GRAM = 5
+#: Rows of an anchor or window that are compared inside one task.
+HOT = 100_000
 _A, _B = RangeHash(11), RangeHash(12)
 
 
@@ -91,6 +97,11 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def never_null(columns: str) -> T.StructType:
+    """Columns without nulls, so that no join adds a filter and both uses of the rows share one shuffle."""
+    return T.StructType([T.StructField(f.name, f.dataType, False) for f in T.StructType.fromDDL(columns)])
+
+
 def anchors(docs: DataFrame, window: int) -> DataFrame:
     """(doc, q, h, e): place, hash and context of every anchor."""
     schema = pa.schema([("doc", pa.int64()), ("q", pa.int32()), ("h", pa.int64()), ("e", pa.int64())])
@@ -103,12 +114,12 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 q, text, h, e = w.contexts()
                 yield record_batch(schema, ids[i:j][text], q - w.first[text], signed(h), signed(e))
 
-    return map_arrow(docs, run, "doc long, q int, h long, e long")
+    return map_arrow(docs, run, never_null("doc long, q int, h long, e long"))
 
 
 def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
     """From (doc, text, qs) to (w1, w2, doc, p): the windows whose anchor is among qs."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("p", pa.int32())])
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int32()), ("doc", pa.int64()), ("p", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -121,34 +132,45 @@ def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
                 wanted[part.flatten().to_numpy() + np.repeat(w.first[:-1], lengths)] = True
                 p = w.windows[wanted[w.anchor]]
                 text = w.of_text[p]
-                yield record_batch(schema, signed(_A.ranges(w.a, p, p + window)), signed(_B.ranges(w.b, p, p + window)),
+                yield record_batch(schema, signed(_A.ranges(w.a, p, p + window)), (_B.ranges(w.b, p, p + window) >> np.uint64(33)).astype(np.int32),
                                    ids[i:j][text], p - w.first[text])
 
-    return map_arrow(docs, run, "w1 long, w2 long, doc long, p int")
+    return map_arrow(docs, run, never_null("w1 long, w2 int, doc long, p int"))
+
+
+def met_again(rows: DataFrame, part: str, keys: list[str], place: str) -> DataFrame:
+    """The rows whose ``part`` occurs again, with the first place of equal keys (f) and the number of different keys
+    of the part (kinds).
+
+    Rows are shuffled by the part once and compared inside a task; parts of more than HOT rows are pre-aggregated
+    and joined instead, which Spark can split.
+    """
+    count = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(count, part)
+    here = F.struct("doc", place)
+    first = F.min(here).over(W.partitionBy(*keys))
+    usual = met.where(F.col("n") <= HOT).withColumn("f", first)
+    usual = usual.withColumn("kinds", F.sum((here == F.col("f")).cast("long")).over(W.partitionBy(part)))
+    hot = met.where(F.col("n") > HOT)
+    firsts = hot.groupBy(*keys).agg(F.min(here).alias("f"))
+    kinds = firsts.groupBy(part).agg(F.count(F.lit(1)).alias("kinds"))
+    hot = hot.join(firsts, keys).join(kinds, part)
+    return usual.unionByName(hot.select(*usual.columns))
 
 
 def duplicate_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, at, whole, ref_doc, ref_at) of (doc, text): contexts (whole) and windows that occur earlier."""
-    found = anchors(docs, window)
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    found = found.join(often, "h")
-    place = F.struct("doc", "q")
-    firsts = found.groupBy("h", "e").agg(F.min(place).alias("f"))
-    several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    # Equal contexts: all but the first place.
-    copies = (found.join(firsts, ["h", "e"]).where(place != F.col("f"))
-              .select("doc", F.col("q").alias("at"), F.lit(True).alias("whole"),
-                      F.col("f.doc").alias("ref_doc"), F.col("f.q").alias("ref_at")))
-    # Factor boundaries: the first places of the contexts of anchors with several contexts.
-    ends = (firsts.join(several, "h").select(F.col("f.doc").alias("doc"), F.col("f.q").alias("q"))
-            .groupBy("doc").agg(F.collect_list("q").alias("qs")))
-    looked_up = boundary_windows(docs.join(ends, "doc"), window)
-    place = F.struct("doc", "p")
-    first = looked_up.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    partial = (looked_up.join(first, ["w1", "w2"]).where(place != F.col("f"))
-               .select("doc", F.col("p").alias("at"), F.lit(False).alias("whole"),
-                       F.col("f.doc").alias("ref_doc"), F.col("f.p").alias("ref_at")))
-    return copies.unionByName(partial)
+    found = met_again(anchors(docs, window), "h", ["h", "e"], "q")
+    # Contexts that occur earlier, and the first places of the contexts of anchors with several contexts.
+    copy = F.struct("doc", "q") != F.col("f")
+    found = written(found.where(copy | (F.col("kinds") > 1)).select(
+        "doc", F.col("q").alias("at"), copy.alias("copy"), F.col("f.doc").alias("ref_doc"), F.col("f.q").alias("ref_at")), "anchors")
+    whole = found.where("copy").select("doc", "at", F.lit(True).alias("whole"), "ref_doc", "ref_at")
+    ends = found.where("not copy").groupBy("doc").agg(F.collect_list("at").alias("qs"))
+    windows = met_again(boundary_windows(docs.join(ends, "doc"), window), "w1", ["w1", "w2"], "p")
+    partial = windows.where(F.struct("doc", "p") != F.col("f")).select(
+        "doc", F.col("p").alias("at"), F.lit(False).alias("whole"), F.col("f.doc").alias("ref_doc"), F.col("f.p").alias("ref_at"))
+    return whole.unionByName(partial)
 
 
 def factors(spans: list[tuple], n: int, window: int) -> list[tuple[int, int, int, int]]:
@@ -174,7 +196,9 @@ def factors(spans: list[tuple], n: int, window: int) -> list[tuple[int, int, int
 def remove_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_removed, kept, factors) of every document; kept is the rest, joined by blanks."""
     docs = ensure_parallelism(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")))
-    spans = (duplicate_places(docs.where(F.col("doc").isNotNull()), window)
+    # The same filtered frame meets the boundaries and the spans, so its texts are shuffled once.
+    with_id, without = docs.where(F.col("doc").isNotNull()), docs.where(F.col("doc").isNull())
+    spans = (duplicate_places(with_id, window)
              .groupBy("doc").agg(F.collect_list(F.struct("at", "whole", "ref_doc", "ref_at")).alias("spans")))
     schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
                         ("factors", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()),
@@ -198,16 +222,17 @@ def remove_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", wi
                     rows.append((doc, n, n - len(words), b" ".join(words).decode(), [dict(zip(names, f)) for f in found]))
                 yield record_batch(schema, *zip(*rows))
 
-    out = map_arrow(docs.join(spans, "doc", "left"), run, "doc long, n_words long, n_removed long, kept string, "
+    rows = with_id.join(spans, "doc", "left")
+    rows = rows.unionByName(without.select("doc", "text", F.lit(None).cast(rows.schema["spans"].dataType).alias("spans")))
+    out = map_arrow(rows, run, "doc long, n_words long, n_removed long, kept string, "
                     "factors array<struct<start:int,end:int,ref_doc:long,ref_start:int>>")
     return out.withColumnRenamed("doc", key)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and n_factors of every document."""
+    """doc_id, n_words, n_removed and kept_sha256 of every document."""
     out = remove_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", WINDOW)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
-                      F.size("factors").cast("long").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def kept_digest(words: list[str]) -> str:

@@ -59,6 +59,7 @@ def near_copies():
 @pytest.mark.parametrize("block,frequent", [(1 << 19, 50), (300, 3)])
 def test_components_match_brute_force(spark, monkeypatch, block, frequent):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "QUERIES", block)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     df = brute.awkward(spark, near_copies())
     out = jaccard.jaccard_components(df, "doc_id", "text").collect()
