@@ -13,7 +13,7 @@ least T of the other's shingles.
    and is done; on real corpora few classes remain, and only their sets are
    looked at.
 3. The remaining classes are dealt into blocks, near copies into the same one
-   (by a shared shingle); a class is a query to each block in which its prefix
+   (by their most frequent shared shingle); a class is a query to each block in which its prefix
    meets c shingles.  A block is an inverted index in memory.  A query's
    short lists are merged, its long lists probed by binary search for those
    candidates that the short lists leave possible; what reaches the required
@@ -56,11 +56,11 @@ PERCENT = 85
 SHARE = 32
 #: From so many documents on a shingle counts as frequent; so many frequent ones are ordered last at most
 #: (the order decides only how soon unlike documents are told apart, never the result).
-FREQUENT, MOST_FREQUENT = 50, 200_000
+FREQUENT, MOST_FREQUENT = 8, 200_000
 #: Shingles counted together in a task before those met once are let go.
 RUN = 1 << 22
 #: Shingles of a block, and of the queries that meet it in one task.
-BLOCK = 1 << 19
+BLOCK, QUERIES = 1 << 19, 1 << 21
 #: Up to so many ids are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _HASH = RangeHash(41)
@@ -154,11 +154,14 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
 
 
 def possible(postings: DataFrame, percent: int) -> DataFrame:
-    """(s, doc, n) of the documents whose shingles (s, doc, n) meet enough shingles of others; only met ones are kept."""
-    met = postings.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
-    kept = (postings.join(met, "s").groupBy("doc", "n").agg(F.collect_list("s").alias("shingles"))
+    """(s, doc, n, k) of the documents whose shingles meet enough shingles of others.
+
+    Only met shingles are kept; k is the number of documents that hold one.
+    """
+    met = postings.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    kept = (postings.join(met, "s").groupBy("doc", "n").agg(F.collect_list(F.struct("s", "k")).alias("shingles"))
             .where(F.size("shingles") >= shared_least(F.col("n"), percent)))
-    return kept.select(F.explode("shingles").alias("s"), "doc", "n")
+    return kept.select(F.inline("shingles"), "doc", "n")
 
 
 def link_block(index: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
@@ -230,8 +233,9 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     spark = docs.sparkSession
     postings = classes.where("n > 0").select(F.explode("prefix").alias("s"), "doc", "n")
     left = written(possible(postings, percent), "jaccard-left")
-    left = written(possible(left, percent), "jaccard-left")  # partners that fell out no longer count
-    of_doc = left.groupBy("doc", "n").agg(F.min("s").alias("home"))
+    left = written(possible(left.drop("k"), percent), "jaccard-left")  # partners that fell out no longer count
+    # Copies agree on the shingle that most documents hold, so they come into the same block.
+    of_doc = left.groupBy("doc", "n").agg(F.max(F.struct("k", "s"))["s"].alias("home"))
     # Blocks: a shingle whose documents fill a block has blocks of its own, the others share.
     totals = of_doc.agg(F.count(F.lit(1)), F.sum("n")).first()
     shared = max(1, -(-(totals[1] or 0) // BLOCK))
@@ -260,7 +264,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     routes = (tokens.join(of_block, "s").where("other <= block").groupBy("doc", "n", "block", "other").agg(F.count(F.lit(1)).alias("k"))
               .where(F.col("k") >= shared_least(F.col("n"), percent))
               .select("doc", F.col("n").alias("size"), F.col("other").alias("target"), (F.col("other") == F.col("block")).alias("home")))
-    parts = routes.groupBy("target").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("parts"))
+    parts = routes.groupBy("target").agg(F.ceil(F.sum("size") / QUERIES).cast("int").alias("parts"))
     index = (sets.withColumnRenamed("block", "target").join(parts, "target")
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("target", "part", "doc", "shingles"))
     queries = (routes.join(parts, "target").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
@@ -292,9 +296,9 @@ def one_of_each(df: DataFrame, key: str, text: str, size: int = SHINGLE, percent
     Of repeated rows one stays; rows without an id link with nothing and stay.
     """
     groups = jaccard_components(df, key, text, size, percent)
-    first = groups.where(F.col("component_id") == F.col(key)).select(F.col("component_id").alias("first")).distinct()
+    first = groups.where(F.col("component_id") == F.col(key)).select(F.col("component_id").alias("__first")).distinct()
     here = F.col(f"`{key}`")
-    kept = df.where(here.isNotNull()).join(first, here.cast("long") == F.col("first"), "left_semi").dropDuplicates([key])
+    kept = df.where(here.isNotNull()).join(first, here.cast("long") == F.col("__first"), "left_semi").dropDuplicates([key])
     return kept.unionByName(df.where(here.isNull()))
 
 
