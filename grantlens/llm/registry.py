@@ -8,7 +8,7 @@ from grantlens.llm.ctw import op2_ctw
 from grantlens.llm.decontam import op10_decontamination
 from grantlens.llm.jaccard import op4_ngram_jaccard
 from grantlens.llm.licenses import op5_licenses
-from grantlens.llm.oracles import OP7_WARC
+from grantlens.llm.oracles import OP1_SUBSTRING_DEDUP, OP4_NGRAM_JACCARD, OP7_WARC
 from grantlens.llm.quality import op9_quality
 from grantlens.llm.secrets import op3_secrets
 from grantlens.llm.substring_dedup import op1_substring_dedup
@@ -30,5 +30,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": OP1_SUBSTRING_DEDUP,
+    "op4_ngram_jaccard": OP4_NGRAM_JACCARD,
     "op7_warc": OP7_WARC,
 }
