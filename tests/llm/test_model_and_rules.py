@@ -133,3 +133,22 @@ def test_redaction_keeps_all_columns_and_leaves_no_secret(spark):
             at = max(at, b)
         assert r["text"] == (want + text[at:] if spans else text)
         assert r["n_chars"] == (len(r["text"]) if spans else -1)
+
+
+def test_held_out_texts_score_above_the_unigram_base(spark):
+    out = ctw.op2_ctw(spark, "/root/testdata/sf0.01").where("held_out")
+    score, base = out.agg(F.sum("score"), F.sum("base_score")).first()
+    print("sf0.01 held-out score, base:", score, base)
+    assert score > base
+
+
+def test_scores_of_the_full_depth_match_an_explicit_tree(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "GROUP_RUNS", 500)
+    rows = [(i + 100, f"é日 {t[:150]}") for i, t in brute.copies(n=12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    want = brute.ctw(rows, {i: brute.held_out(i) for i, _ in rows}, ctw.DEPTH)
+    out = ctw.score_texts(df, "doc_id", "text", held, block_bytes=700).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["score"] == pytest.approx(want[r["doc_id"]][4], abs=1e-7)
