@@ -152,3 +152,15 @@ def test_scores_of_the_full_depth_match_an_explicit_tree(spark, monkeypatch):
     assert len(out) == len(rows)
     for r in out:
         assert r["score"] == pytest.approx(want[r["doc_id"]][4], abs=1e-7)
+
+
+def test_rows_without_an_id_and_repeated_rows_are_dealt_over_blocks(spark):
+    rows = [(i if i % 3 else None, f"{t[:200]} n{i}") for i, t in brute.copies(n=60)] + [(7, "the same row again")] * 200
+    df = spark.createDataFrame(rows, "key long, text string").withColumn("held_out", F.lit(False))
+    parts, blocks = ctw.dealt(df, 1000)
+    sizes = [r["n"] for r in parts.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert blocks > 5 and max(sizes) < 3000 and parts.agg(F.sum("times")).first()[0] == len(rows)
+    whole, small = ([tuple(r) for r in ctw.score_texts(df, "key", "text", F.lit(False), depth=4, block_bytes=b).collect()] for b in (1 << 24, 1000))
+    assert len(whole) == len(small) == len(rows)
+    for a, b in zip(sorted(whole, key=str), sorted(small, key=str)):
+        assert a[:-2] == b[:-2] and a[-2:] == pytest.approx(b[-2:], abs=1e-7)
