@@ -6,7 +6,8 @@ again, so a lost executor repeats one stage at most.  All but the last
 return the columns of ``documents``.
 
 * quality: documents that the rules or the log-likelihood ratio reject go.
-* near_duplicates: of each group of linked documents the one of the smallest id stays.
+* near_duplicates: of each group of documents linked by a Jaccard similarity of 0.8 or more over
+  five-word shingles the one of the smallest id stays.
 * decontamination: documents that hold a test item go.
 * secrets: every span found is replaced by a mark (and n_chars follows).
 * tokens: the ids of each text, as counts and digests, after an exact round trip.
@@ -26,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs, "doc_id", "text")
+    # Five words and 0.8; op4_ngram_jaccard has its own contract.
+    return jaccard.one_of_each(docs, "doc_id", "text", size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,3 +168,13 @@ def test_pipeline_on_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, sf), "test-empty")
     assert docs.count() == 0
+
+
+def test_near_duplicates_take_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    edited = [w + "x" if i in (30, 70) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(f"v{i}" for i in range(100)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, None).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, (_, c) in brute.jaccard_components(rows, 5, 80).items() if i == c} == {1, 3}
+    assert len({c for _, c in brute.jaccard_components(rows).values()}) == 3
