@@ -7,8 +7,8 @@ its characters are kept up to date as one character enters and one leaves,
 and the entropy follows from the sum of c*log2(c), of which only two terms
 change per step.  A candidate whose best windows reach the threshold of its
 character class (hex digits or any key characters) adds the span from the
-first such window to the last, unless the allow list knows it or a base span
-already covers part of it.
+first such window to the last, unless the allow list knows it or base spans
+already cover all of it.
 
 Everything is DataFrame expressions.  Positions are code points: the text
 is split by the pattern, and the lengths of pieces and matches are summed by
@@ -47,9 +47,12 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 HEX_BITS, KEY_BITS = 3.0, 3.6
 HEX_CLASS = "^(?:[0-9a-f]+|[0-9A-F]+)$"
 #: Candidates that are never reported: without a digit or without a letter, identifiers
-#: in the UUID form, placeholders, and words joined by path or name separators.
+#: in the UUID form, placeholders, and words joined by path or name separators.  A
+#: placeholder stands for its own part between separators: every other part has to be
+#: of letters or digits alone.
+PLACEHOLDER = "example|placeholder|changeme|dummy|x{6}|0123456789|abcdefgh"
 ALLOWED = ("^[^0-9]+$", "^[^A-Za-z]+$", "^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-           "(?i)example|placeholder|changeme|dummy|x{6}|0123456789|abcdefgh",
+           f"(?i)^(?=.*(?:{PLACEHOLDER}))(?!.*(?<![a-z0-9])(?![a-z0-9]*(?:{PLACEHOLDER}))(?=[a-z]*[0-9])(?=[0-9]*[a-z]))",
            "^(?:[A-Za-z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]+|[0-9]+))*$")
 MARK = "[SECRET]"
 
@@ -123,8 +126,10 @@ def entropy_spans(text: Column, base: Column) -> Column:
     hot = F.transform(runs, lambda x: let(hot_range(x["match"]), lambda h: F.struct(
         (x["start"] + h["from"]).alias("start"), F.lit(KINDS.index(ENTROPY)).alias("kind"),
         F.when(h["from"] < 0, F.lit(-1)).otherwise(x["start"] + h["to"]).alias("end"))))
-    return F.filter(hot, lambda x: (x["end"] >= 0) & ~F.exists(
-        base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    # The base spans are in order: how far they cover the span without a gap.
+    covered = lambda x: F.aggregate(base, x["start"], lambda at, b: F.when(
+        b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    return F.filter(hot, lambda x: (x["end"] >= 0) & (covered(x) < x["end"]))
 
 
 def joined(spans: Column) -> Column:
