@@ -5,12 +5,15 @@ The corpus is read twice and never shuffled:
 1. The words of the test items are counted over the whole corpus.  An
    n-gram of two or three item words whose expected rate (the product of its
    words' rates) is at most ``RARE_RATE`` is a seed; an item always has its
-   ``LEAST_SEEDS`` rarest three-word n-grams.  The rate is computed from
+   ``LEAST_SEEDS`` rarest three-word n-grams and the rarest one of each of
+   up to ``LEAST_SEEDS`` parts of it, so no single edit removes all (under
+   six words: all word pairs; under ``LEAST_WORDS``: the whole item).  The rate is computed from
    single words, so a passage that leaked into many documents stays rare.
 2. Every place where a document holds a seed gives a window around the
    diagonal of the item; overlapping windows are joined, and the item is
    aligned to the window by Smith-Waterman over words.  A document whose
-   best local alignment with an item reaches ``SCORE`` of a perfect copy's
+   best local alignment with an item reaches ``SCORE`` of a perfect copy's,
+   and ``LEAST_MATCHED`` words (in a shorter item: all but one edited word),
    is reported with the item, the score and the words it spans.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, with A-Z
@@ -19,7 +22,7 @@ blocks of at most ``ITEM_BYTES`` of text, each sent to the tasks once; rows
 shuffled are one count per item word and task.
 
 Defined cases: null and empty texts hold no seed; items of fewer than
-``LEAST_WORDS`` words accuse nobody; equal items and repeated rows are each
+``LEAST_WORDS`` words count where they stand whole and unchanged; equal items and repeated rows are each
 reported; a null id is reported as it is; an empty table gives an empty
 result; extra columns are not read.
 """
@@ -39,6 +42,8 @@ from grantlens.session import ensure_parallelism
 RARE_RATE = 1e-8
 LEAST_SEEDS = 4
 LEAST_WORDS = 5
+#: Matched words, less one half for every edit between them, that an alignment has to reach besides its share.
+LEAST_MATCHED = 6
 #: Share of the score of a perfect copy from which a document counts as contaminated.
 SCORE = 0.35
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -113,6 +118,14 @@ def count_words(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
     return np.array([found.get(i, 0) for i in range(len(vocabulary))], np.int64), found.get(-1, 0)
 
 
+def needed_score(words: int) -> float:
+    """The alignment score from which an item of so many words is found."""
+    if words < LEAST_WORDS:
+        return MATCH * words
+    one_edit = MATCH * (words - 1) + MISMATCH
+    return max(SCORE * MATCH * words, min(one_edit, MATCH * LEAST_MATCHED))
+
+
 class Seeds:
     """The items' words, and for every seed hash the items and places it comes from."""
 
@@ -122,6 +135,8 @@ class Seeds:
         rows = []
         for k, words in enumerate(items):
             if len(words) < LEAST_WORDS:
+                if len(words):
+                    rows.append((int(_HASH.grams(words, len(words))[0]), len(words), k, 0))
                 continue
             rates = np.concatenate(([0.0], np.cumsum(log_rate[np.searchsorted(vocabulary, words)])))
             for n in SIZES:
@@ -130,10 +145,16 @@ class Seeds:
                 rare = rate <= math.log10(RARE_RATE)
                 if n == SIZES[-1]:
                     rare[np.argsort(rate, kind="stable")[:LEAST_SEEDS]] = True
+                    parts = min(LEAST_SEEDS, len(words) // n)
+                    cuts = np.arange(parts + 1) * len(words) // parts
+                    for a, b in zip(cuts[:-1], cuts[1:]):
+                        rare[a + np.argmin(rate[a:b - n + 1])] = True
+                elif len(words) < 2 * SIZES[-1]:
+                    rare[:] = True
                 h = _HASH.grams(words, n)
                 rows += [(int(h[i]), n, k, int(i)) for i in np.flatnonzero(rare)]
         self.by_size = {}
-        for n in SIZES:
+        for n in sorted({r[1] for r in rows}):
             own = sorted((h, k, i) for h, m, k, i in rows if m == n)
             h = np.array([x[0] for x in own], np.uint64)
             members = Members(h)
@@ -176,7 +197,7 @@ class Seeds:
             texts = [h[a:b] for _, _, a, b in part]
             score, end = local_alignment(items, texts)
             share = score / (MATCH * np.array([len(x) for x in items]))
-            good = np.flatnonzero(share >= SCORE - 1e-12)
+            good = np.flatnonzero(score >= np.array([needed_score(len(x)) for x in items]) - 1e-9)
             if not len(good):
                 continue
             # The same alignment from its end backwards gives where it starts.

@@ -178,3 +178,27 @@ def test_near_duplicates_take_five_words_and_four_fifths(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, None).collect()
     assert {r["doc_id"] for r in kept} == {i for i, (_, c) in brute.jaccard_components(rows, 5, 80).items() if i == c} == {1, 3}
     assert len({c for _, c in brute.jaccard_components(rows).values()}) == 3
+
+
+def test_short_and_common_items_and_their_look_alikes(spark):
+    common = "the of and to in a is it on as at by".split()
+    rng = random.Random(4)
+    filler = [(100 + i, " ".join(rng.choice(common) + f" z{i}x{j}" for j in range(60))) for i in range(60)]
+    items = [(1, "zebra quartz violin harbor comet"), (2, "amber falcon ridge"), (3, "lunar pepper canyon drift ember silk mango otter"),
+             (4, "the of and to in a is it on as at by")]
+    docs = [(1, "x zebra quartz violin harbor comet y"), (2, "x zebra quartz nothing else here"), (3, "an Amber, falcon ridge."),
+            (4, "amber falcon and ridge"), (5, "lunar pepper canyon alone"), (6, "see lunar pepper canyon EDIT ember silk mango otter"),
+            (7, "q q the of and to in EDIT is it on as at by q"), (8, "zebra quartz EDIT harbor comet"), *filler]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontam.find_leaks(df, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item"]) for r in found} == {(1, 1), (3, 2), (6, 3), (7, 4), (8, 1)}
+
+
+def test_no_single_edit_removes_every_seed():
+    for n in range(5, 30):
+        words = np.arange(n, dtype=np.uint64) + np.uint64(1)
+        seeds = decontam.Seeds([words], words, np.full(n, 10**6), 10**7)  # frequent words: no n-gram is rare
+        for edit in range(n):
+            text = words.copy()
+            text[edit] = 999
+            assert seeds.windows(text, np.array([0, n])), (n, edit)
