@@ -177,3 +177,26 @@ def test_nothing_of_a_partly_covered_secret_stays(spark):
     assert out[0] == "id [SECRET] end" and out[2] == "[SECRET]" and out[8].startswith("EXAMPLEKEY")
     assert "Op1As3Df4Gh6Jk0Lz" not in out[1]
     assert [len(r["spans"]) for r in secrets.find_secrets(df, "doc_id", "text").where("doc_id = 9").collect()] == [1]
+
+
+def test_verdicts_do_not_depend_on_the_size_of_corpus_or_label_set(spark, monkeypatch):
+    monkeypatch.setattr(quality.buckets_of, "__defaults__", (1 << 12,))
+    monkeypatch.setattr(quality.bucket_weights, "__defaults__", (1 << 12, None))
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+
+    def kept(d, l):
+        out = quality.judge(docs, "doc_id", "text", quality.good_weights(d, l))
+        return {r["doc_id"]: r["kept"] for r in out.collect()}
+
+    def copied(df):
+        return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
+            "doc_id", F.col("doc_id") + F.col("copy") * 1_000_000).drop("copy")
+
+    once = kept(docs, labels)
+    assert 0.6 < sum(once.values()) / len(once) < 0.95
+    assert kept(copied(docs), copied(labels)) == once
+    half = kept(docs, labels.where("doc_id % 2 = 0"))
+    print("kept", sum(once.values()), "of", len(once), "with half the labels", sum(half.values()))
+    assert sum(half[i] == k for i, k in once.items()) > 0.9 * len(once)
