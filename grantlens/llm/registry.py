@@ -6,9 +6,10 @@ import corpus_pipeline
 from grantlens.llm.bpe import op8_bpe
 from grantlens.llm.ctw import op2_ctw
 from grantlens.llm.decontam import op10_decontamination
+from grantlens.llm.filter_audit import op11_filter_audit
 from grantlens.llm.jaccard import op4_ngram_jaccard
 from grantlens.llm.licenses import op5_licenses
-from grantlens.llm.oracles import OP1_SUBSTRING_DEDUP, OP4_NGRAM_JACCARD, OP7_WARC
+from grantlens.llm.oracles import OP1_SUBSTRING_DEDUP, OP4_NGRAM_JACCARD, OP7_WARC, OP11_FILTER_AUDIT
 from grantlens.llm.quality import op9_quality
 from grantlens.llm.secrets import op3_secrets
 from grantlens.llm.substring_dedup import op1_substring_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_filter_audit": op11_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SUBSTRING_DEDUP,
     "op4_ngram_jaccard": OP4_NGRAM_JACCARD,
     "op7_warc": OP7_WARC,
+    "op11_filter_audit": OP11_FILTER_AUDIT,
 }
