@@ -12,6 +12,7 @@ from grantlens.llm.licenses import op5_licenses
 from grantlens.llm.oracles import OP1_SUBSTRING_DEDUP, OP4_NGRAM_JACCARD, OP7_WARC, OP11_FILTER_AUDIT
 from grantlens.llm.quality import op9_quality
 from grantlens.llm.secrets import op3_secrets
+from grantlens.llm.spelling import op12_spelling_variants
 from grantlens.llm.substring_dedup import op1_substring_dedup
 from grantlens.llm.token_counts import op6_token_counts
 from grantlens.llm.warc import op7_warc
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
     "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
