@@ -10,6 +10,7 @@ from grantlens.llm.filter_audit import op11_filter_audit
 from grantlens.llm.jaccard import op4_ngram_jaccard
 from grantlens.llm.licenses import op5_licenses
 from grantlens.llm.oracles import OP1_SUBSTRING_DEDUP, OP4_NGRAM_JACCARD, OP7_WARC, OP11_FILTER_AUDIT
+from grantlens.llm.pii import op13_personal_data
 from grantlens.llm.quality import op9_quality
 from grantlens.llm.secrets import op3_secrets
 from grantlens.llm.spelling import op12_spelling_variants
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_filter_audit": op11_filter_audit,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_personal_data": op13_personal_data,
     "pipeline": corpus_pipeline.run,
 }
 
