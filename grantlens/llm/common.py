@@ -2,14 +2,15 @@
 
 A word is a run of ``[^\\x20\\x09-\\x0D]+``.  These are ASCII separators, so
 words can be cut from the UTF-8 bytes directly; numpy does this for a whole
-Arrow batch at once, without a Python object per word.  Word and n-gram
-hashes are polynomial hashes over a random byte table modulo 2**64, passed
-through a mixing step; prefix sums give the hash of any range of bytes or
-words in constant time.
+Arrow batch at once, without a Python object per word.  Words are hashed
+under a random key, eight bytes at a time; n-gram hashes are polynomials
+over the words' hashes, and prefix sums give that of any run of words in
+constant time.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -108,12 +109,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Words of more bytes are hashed by a keyed digest, one by one.
+LONG_WORD = 64
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 class RangeHash:
-    """Hashes of ranges of a sequence, by prefix sums; ``seed`` picks an independent family."""
+    """Hashes of words and of short runs of words; ``seed`` picks an independent family.
+
+    A word goes through the mixing step eight bytes at a time, so words of up to eight bytes never collide
+    with others of their length, and a longer one is a chain of 64-bit permutations under a random key.
+    A run's hash is a polynomial over its words' hashes modulo 2**64, taken from prefix sums.  Its
+    coefficients are random numbers, so that runs of a few dozen words are told apart; sums over thousands
+    of equal words are not meant to be hashed like this.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.of_byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.key = rng.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(rng.integers(2**61, 2**62)) * 2 + 1
         self._pow = self._inv = np.zeros(0, np.uint64)
 
@@ -137,7 +150,20 @@ class RangeHash:
         return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64))
 
     def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self.ranges(self.prefix(self.of_byte[data]), start, end)
+        size = end - start
+        out = np.full(len(start), self.key[0], np.uint64)
+        eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+        now = np.flatnonzero(size <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            now = now[size[now] > at]
+            if not len(now):
+                break
+            part = eight[start[now] + at].view("<u8")[:, 0] & _TAIL[np.minimum(size[now] - at, 8)]
+            out[now] = mix(out[now] ^ part) * self.key[1]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            digest = hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8, key=self.key.tobytes()).digest()
+            out[i] = np.frombuffer(digest, "<u8")[0]
+        return mix(out + size.astype(np.uint64))
 
     def grams(self, words: np.ndarray, k: int) -> np.ndarray:
         """Hash of every run of ``k`` words (also those that cross texts: mask them)."""

@@ -88,3 +88,39 @@ def test_hot_anchors_take_the_joined_way(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", 3)
     rows = brute.copies(seed=8, vocabulary=3)
     assert removed(spark.createDataFrame(rows, "doc_id long, text string"))[1] == brute.repeats_removed(rows)
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two different texts of n letters whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    x, y = thue_morse(4096)
+    u, v = thue_morse(64)
+    rows = [(1, " ".join([*(f"w{i}" for i in range(10)), x, *(f"w{i}" for i in range(10, 30))])),
+            (2, " ".join([*(f"w{i}" for i in range(10)), y, *(f"w{i}" for i in range(10, 30))])),
+            (3, " ".join([*(f"v{i}" for i in range(20)), u])), (4, " ".join([*(f"v{i}" for i in range(20)), v]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_duplicates(df).collect()}
+    want = brute.repeats_removed(rows)
+    for i, (n, removed, kept) in got.items():
+        assert (n, removed, brute.sha(kept)) == want[i]
+    assert got[2][1] == 20 and got[4][1] == 20
+    linked = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df, "doc_id", "text").collect()}
+    assert linked == {i: c for i, (_, c) in brute.jaccard_components(rows, 4, 85).items()} and linked[2] == 2
+
+
+def test_hashes_of_words():
+    import numpy as np
+
+    from grantlens.llm.common import RangeHash
+    words = [b"", b"a", b"aa", b"\0", b"\0\0", b"abcdefgh", b"abcdefgi", b"abcdefgh\0", b"x" * 64, b"x" * 65, b"x" * 66, *(t.encode() for t in thue_morse(1024)),
+             *(t.encode() for t in thue_morse(32)), *(f"word{i}".encode() for i in range(5000))]
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    h = RangeHash(5).words(np.frombuffer(b"".join(words), np.uint8), start, end)
+    assert len(set(h.tolist())) == len(words)
+    alone = [RangeHash(5).words(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]
+    assert h.tolist() == [int(x) for x in alone] and h[1] != RangeHash(6).words(np.frombuffer(b"a", np.uint8), np.array([0]), np.array([1]))[0]
