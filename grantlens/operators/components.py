@@ -6,7 +6,8 @@ When nothing changes, each component is a star around its least node.  Every
 step is a pre-aggregated minimum per node and a join back, so a node with
 many edges is one partial row per task in the minimum, and its edges are
 split like any skewed join.  Every round is written to the shared folder, so
-a lost executor reads files instead of repeating rounds.
+a lost executor reads files instead of repeating rounds; the round before is
+then removed.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlens.plans.materialize import written
+from grantlens.plans.materialize import release, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(now, "components")
     state = _state(now)
     while state[0]:
-        now = written(_small_star(_large_star(now)), "components")
+        last, now = now, written(_small_star(_large_star(now)), "components")
+        release(last)
         before, state = state, _state(now)
         if state == before:
             break
