@@ -1,4 +1,4 @@
-"""Corpus, tokens, n-grams, vocabulary, TF-IDF, chi-square,
+"""Corpus, tokens, n-grams, vocabulary, TF-IDF, chi-square,
 text classifiers and topics.
 
 Tokens stay in an array column; bigrams are built inside the row with a
@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantlens.operators import sparse_models as sparse
+from grantlens.operators import topics
+from grantlens.operators import word_vectors as vectors_of
 from grantlens.plans.materialize import written
 from grantlens.session import broadcast_if_small
 
@@ -21,8 +24,6 @@ from grantlens.session import broadcast_if_small
 CORPUS_COLUMNS = ("Programa", "Estado", "Municipio", "Departamento")
 TOKEN_PATTERN = r"\p{L}+"
 NON_LETTERS = r"[^\p{L}]+"
-#: No cap on the vocabulary.
-ALL_TERMS = (1 << 31) - 1
 
 
 def corpus(apps: DataFrame, columns=CORPUS_COLUMNS, id_col: str = "app_id",
@@ -171,102 +172,61 @@ def chi2_top_terms(docs: DataFrame, k: int = 20, **kw) -> DataFrame:
     return chi2_terms(docs, **kw).orderBy(F.col("chi2").desc(), F.col("term")).limit(k)
 
 
-def text_classifiers(docs: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
-    """Naive Bayes, logistic regression, linear SVM on TF-IDF.
+def split_documents(docs: DataFrame, label: str = "label") -> DataFrame:
+    """``docs`` (doc_id, text, label) with terms (unigrams and bigrams) and the stratified split."""
+    from grantlens.operators.features import stratified_split
 
-    Every term of the training part has its own feature (no hashing), and
-    the features are fitted and computed once for the three models.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-    from pyspark.ml.feature import IDF, CountVectorizer
-    from pyspark.ml.functions import vector_to_array
+    d = with_ngrams(tokenize(docs), max_n=2).select("doc_id", F.col(label).alias("label"), "terms")
+    return stratified_split(d, label="label", id_col="doc_id")
 
-    from grantlens.operators.evaluation import classification_metrics
-    from grantlens.operators.features import stratified_split
 
-    d = with_ngrams(tokenize(docs), max_n=2)
-    split = stratified_split(d.withColumn("app_id", F.col("doc_id")), label=label)
-    split = split.withColumn("lbl", F.col(label).cast("double"))
-    feats = Pipeline(stages=[
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=ALL_TERMS),
-        IDF(inputCol="tf", outputCol="features")]).fit(split.where(F.col("split") == "train"))
-    ready = written(feats.transform(split).select(label, "lbl", "split", "features"), "text-features")
-    train, test = (ready.where(F.col("split") == part) for part in ("train", "test"))
-    out = []
-    models = {
-        "Naive Bayes": (NaiveBayes(featuresCol="features", labelCol="lbl"), "probability"),
-        "Logistic Reg.": (LogisticRegression(featuresCol="features", labelCol="lbl",
-                                             maxIter=100), "probability"),
-        "SVM Lineal": (LinearSVC(featuresCol="features", labelCol="lbl", maxIter=50),
-                       "rawPrediction"),
-    }
-    for name, (est, score_col) in models.items():
-        pred = est.fit(train).transform(test)
-        score = vector_to_array(score_col).getItem(1)
-        if score_col == "rawPrediction":
-            score = F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
-        out.append(pred.select(F.lit(name).alias("modelo"), F.col(label).alias("label"),
-                               score.alias("prob")))
-    allp = out[0]
-    for o in out[1:]:
-        allp = allp.unionByName(o)
-    return classification_metrics(allp, "label", "prob", "modelo")
-
-
-def word_vectors(docs: DataFrame, size: int = 50, iters: int = 30, min_count: int = 1,
-                 seed: int = 42, partitions: int = 8) -> DataFrame:
-    """Skip-gram word vectors (term, vector array) of every term.
-
-    ``partitions`` is fixed, not the number of cores: the vectors depend on it.
+def naive_bayes_scores(docs: DataFrame, label: str = "label") -> DataFrame:
+    """(doc_id, label, prob) of the test documents by multinomial naive Bayes on TF-IDF, smoothing 1."""
+    split = written(split_documents(docs, label), "text-split")
+    train = sparse.weighted_documents(split.where("split = 'train'"))
+    idf = written(sparse.inverse_frequencies(train), "text-idf")
+    model, bias = sparse.naive_bayes(sparse.valued_terms(train, idf), train)
+    test = split.where("split = 'test'")
+    weights = broadcast_if_small(idf.join(model, "term").select("term", (F.col("idf") * F.col("w")).alias("w")))
+    sums = term_counts(test).join(weights, "term").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("w")).alias("z"))
+    z = F.coalesce("z", F.lit(0.0)) + F.lit(bias)
+    return test.select("doc_id", "label").join(sums, "doc_id", "left").select(
+        "doc_id", "label", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("prob"))
+
+
+def text_classifiers(docs: DataFrame, label: str = "label") -> DataFrame:
+    """Naive Bayes, logistic regression and linear SVM on TF-IDF; see ``operators.sparse_models``.
+
+    Every term of the training part has its own weight (no hashing).  The
+    penalty of the linear models is that of C = 1: one over the documents for
+    the mean loss.
     """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    d = tokenize(docs)
-    # Spark's default (one partition) would train on the whole corpus in one task.
-    model = Word2Vec(vectorSize=size, maxIter=iters, minCount=min_count, seed=seed,
-                     numPartitions=partitions, inputCol="tokens", outputCol="vec").fit(d)
-    return model.getVectors().select(F.col("word").alias("term"),
-                                     vector_to_array("vector").alias("vector"))
-
-
-def topic_model(docs: DataFrame, k: int = 7, max_iter: int = 20, seed: int = 42):
-    """CountVectorizer + online LDA; returns (model, vectors, cv_model)."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    d = tokenize(docs)
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=ALL_TERMS).fit(d)
-    vec = cv.transform(d).persist()
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(vec)
-    return lda, vec, cv
-
-
-def topic_terms(docs: DataFrame, k: int = 7, n_terms: int = 5, **kw) -> DataFrame:
-    """Top words per topic and the corpus log-perplexity."""
-    lda, vec, cv = topic_model(docs, k=k, **kw)
-    vocab = cv.vocabulary
-    perplexity = float(lda.logPerplexity(vec))
-    topics = lda.describeTopics(n_terms)
-    spark = docs.sparkSession
-    # Vocabulary index -> term, as a table joined on the index (no driver map).
-    vdf = spark.createDataFrame([(i, t) for i, t in enumerate(vocab)], "idx int, term string")
-    ex = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights"))
-                       .alias("rank", "tw"))
-    ex = ex.select("topic", "rank", F.col("tw.termIndices").alias("idx"),
-                   F.col("tw.termWeights").alias("weight"))
-    return (ex.join(vdf, "idx").drop("idx")
-            .withColumn("log_perplexity", F.lit(perplexity)))
-
-
-def topic_sizes(docs: DataFrame, k: int = 7, **kw) -> DataFrame:
-    """Documents per dominant topic."""
-    from pyspark.ml.functions import vector_to_array
-
-    lda, vec, _ = topic_model(docs, k=k, **kw)
-    dist = vector_to_array(F.col("topicDistribution"))
-    dom = F.array_position(dist, F.array_max(dist)) - 1
-    return (lda.transform(vec).select(dom.cast("int").alias("topic"))
-            .groupBy("topic").agg(F.count(F.lit(1)).alias("n_docs")))
+    from grantlens.operators.evaluation import classification_metrics
 
+    documents = sparse.weighted_documents(split_documents(docs, label))
+    train, test = (documents.where(F.col("split") == part) for part in ("train", "test"))
+    idf = written(sparse.inverse_frequencies(train), "text-idf")
+    pairs = written(sparse.valued_terms(train, idf), "text-features")
+    n = float(train.agg(F.sum("weight")).first()[0] or 1.0)
+    vectors = written(sparse.term_arrays(pairs), "text-vectors")
+    fits = {"nb": sparse.naive_bayes(pairs, train), "lr": sparse.fit_linear(vectors, sparse.LOGISTIC, 1.0 / n),
+            "svm": sparse.fit_linear(vectors, sparse.SQUARED_HINGE, 1.0 / n)}
+    weights = idf.select("term")
+    for name, (w, _) in fits.items():
+        weights = weights.join(w.withColumnRenamed("w", name), "term", "left")
+    scored = sparse.margins(sparse.valued_terms(test, idf), test, broadcast_if_small(weights.na.fill(0.0)), {k: b for k, (_, b) in fits.items()})
+    names = {"nb": "Naive Bayes", "lr": "Logistic Reg.", "svm": "SVM Lineal"}
+    each = F.array(*(F.struct(F.lit(title).alias("modelo"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(c)))).alias("prob")) for c, title in names.items()))
+    # One row per document again, as the metrics count rows.
+    rows = scored.select("label", F.explode(each).alias("_m"), "weight").select("label", "_m.*", F.explode(F.sequence(F.lit(1), F.col("weight"))))
+    return classification_metrics(rows, "label", "prob", "modelo")
+
+
+def word_vectors(docs: DataFrame, size: int = 50, window: int = 5) -> DataFrame:
+    """(term, vector) of every token; see ``operators.word_vectors``."""
+    return vectors_of.word_vectors(tokenize(docs).select("tokens"), size, window)
+
+
+def topic_model(docs: DataFrame, k: int = 7, **kw) -> topics.Topics:
+    """The fit that topic terms and topic sizes share; see ``operators.topics``."""
+    return topics.fit_topics(tokenize(docs), k, **kw)

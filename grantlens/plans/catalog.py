@@ -89,7 +89,7 @@ def q_dataset_kpis(spark, sf_dir):
 # ---------------------------------------------------------------- A4-A11
 from grantlens.functions import bands  # noqa: E402
 from grantlens.operators import (clustering, evaluation, features, reporting,  # noqa: E402
-                                 scoring, text, timeseries, validation, vectors)
+                                 scoring, text, timeseries, topics, validation, vectors)
 
 
 @query("category_lists")
@@ -551,29 +551,50 @@ def q_cluster_lookup(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- text models (rows-only)
+#: Without the column that names the outcome.
+NO_STATE = ("Programa", "Municipio", "Departamento")
+
+
 @query("text_classifiers")
 def q_text_classifiers(spark, sf_dir):
     """N6 on the four-column corpus (label leaks through Estado)."""
     return text.text_classifiers(_corpus(spark, sf_dir))
 
 
+@query("naive_bayes_scores")
+def q_naive_bayes_scores(spark, sf_dir):
+    """Naive Bayes probability of every test document, the leaking Estado left out."""
+    return text.naive_bayes_scores(text.corpus(_apps(spark, sf_dir), NO_STATE))
+
+
 @query("text_classifiers_no_state")
 def q_text_classifiers_no_state(spark, sf_dir):
     """Same without Estado."""
-    docs = text.corpus(_apps(spark, sf_dir), ("Programa", "Municipio", "Departamento"))
+    docs = text.corpus(_apps(spark, sf_dir), NO_STATE)
     return text.text_classifiers(docs)
 
 
+_TEXT_FITS: dict = {}
+
+
+def _text_fit(spark, sf_dir, kind, fit):
+    """A fit on the corpus, once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _TEXT_FITS:
+        _TEXT_FITS[key] = fit(_corpus(spark, sf_dir))
+    return _TEXT_FITS[key]
+
+
 @query("word_vectors")
 def q_word_vectors(spark, sf_dir):
-    """d=50, 30 iterations."""
-    return text.word_vectors(_corpus(spark, sf_dir))
+    """d=50."""
+    return _text_fit(spark, sf_dir, "vectors", text.word_vectors)
 
 
 @query("nearest_terms")
 def q_nearest_terms(spark, sf_dir):
-    """N10 on fitted word vectors: 5 nearest terms to 'vencido' (or the first term)."""
-    wv = text.word_vectors(_corpus(spark, sf_dir)).withColumnRenamed("vector", "embedding")
+    """N10 on the word vectors: 5 nearest terms to 'vencido' (or the first term)."""
+    wv = _text_fit(spark, sf_dir, "vectors", text.word_vectors).withColumnRenamed("vector", "embedding")
     probe = wv.where(F.col("term") == "vencido").select("term").first() or \
         wv.orderBy("term").select("term").first()
     qv = vectors.vector_of(wv, probe[0], id_col="term")
@@ -584,13 +605,13 @@ def q_nearest_terms(spark, sf_dir):
 @query("topic_terms")
 def q_topic_terms(spark, sf_dir):
     """7 topics, top words and log-perplexity."""
-    return text.topic_terms(_corpus(spark, sf_dir), k=7)
+    return topics.topic_terms(_text_fit(spark, sf_dir, "topics", text.topic_model))
 
 
 @query("topic_sizes")
 def q_topic_sizes(spark, sf_dir):
     """N12."""
-    return text.topic_sizes(_corpus(spark, sf_dir), k=7)
+    return topics.topic_sizes(_text_fit(spark, sf_dir, "topics", text.topic_model))
 
 
 @query("next_year_forecast")

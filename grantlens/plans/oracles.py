@@ -630,6 +630,31 @@ scored AS (
 SELECT term, round(chi2, 6) AS chi2, clase FROM scored ORDER BY scored.chi2 DESC, term LIMIT 20
 """)
 
+oracle("naive_bayes_scores")(CORPUS.replace("Programa, Estado, Municipio", "Programa, Municipio") + """
+, ranked AS (
+  SELECT doc_id, label, terms, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r,
+         count(*) OVER (PARTITION BY label) AS n FROM grams
+),
+parts AS (SELECT doc_id, label, terms, CASE WHEN r <= (n + 4) // 5 THEN 'test' ELSE 'train' END AS split FROM ranked),
+tf AS (
+  SELECT doc_id, label, split, term, count(*) AS tf
+  FROM (SELECT doc_id, label, split, unnest(terms) AS term FROM parts) GROUP BY ALL
+),
+m AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM parts WHERE split = 'train'),
+idf AS (
+  SELECT term, ln((1.0 + any_value(m.n)) / (1.0 + count(*))) AS idf FROM tf CROSS JOIN m WHERE split = 'train' GROUP BY term
+),
+mass AS (
+  SELECT term, sum(CASE WHEN label = 0 THEN tf * idf ELSE 0.0 END) AS s0, sum(CASE WHEN label = 1 THEN tf * idf ELSE 0.0 END) AS s1
+  FROM tf JOIN idf USING (term) WHERE split = 'train' GROUP BY term
+),
+t AS (SELECT sum(s0) AS t0, sum(s1) AS t1, count(*) AS v FROM mass),
+w AS (SELECT term, ln((s1 + 1.0) / (t1 + v)) - ln((s0 + 1.0) / (t0 + v)) AS w FROM mass CROSS JOIN t),
+z AS (SELECT doc_id, sum(tf * idf * w) AS z FROM tf JOIN idf USING (term) JOIN w USING (term) WHERE split = 'test' GROUP BY doc_id)
+SELECT p.doc_id, p.label, round(1.0 / (1.0 + exp(-(coalesce(z, 0.0) + ln((n1 + 1.0) / (n0 + 1.0))))), 6) AS prob
+FROM parts p CROSS JOIN m LEFT JOIN z ON z.doc_id = p.doc_id WHERE p.split = 'test'
+""")
+
 _COS = """list_sum([CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE) FOR i IN range(1, len({a}) + 1)])
        / (sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN {a}]))
           * sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN {b}])))"""
