@@ -45,7 +45,7 @@ def test_quality_measures(spark):
     rows = [(i, "".join(rng.choice(["a ", "b ", "c\n", "d\t", "#", " \n", "é| "]) for _ in range(rng.randint(0, 120)))) for i in range(150)]
     df = brute.awkward(spark, rows)
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)] + [(None, 1), (3, 1)], "doc_id long, quality int")
-    out = quality.judge(df, "doc_id", "text", quality.good_weights(df, labels)).collect()
+    out = quality.judge(df, "doc_id", "text", *quality.good_weights(df, labels)).collect()
     assert len(out) == df.count()
     text = {r["doc_id"]: r["text"] for r in df.collect()}
     for r in out:
@@ -63,22 +63,50 @@ def test_log_ratio_matches_counts_by_hand(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
     weights = quality.bucket_weights(df, "doc_id", "text", labels, "doc_id", F.col("quality") == 1, buckets)
-    got = {r["doc_id"]: r["log_ratio"] for r in quality.judge(df, "doc_id", "text", weights).collect()}
+    got = {r["doc_id"]: r["log_ratio"] for r in quality.judge(df, "doc_id", "text", weights, 0.0).collect()}
     import math
-    features = {r["doc_id"]: r["b"] for r in df.select(
-        "doc_id", quality.buckets_of(quality.hashes_of(quality.words_of(F.col("text"))), buckets).alias("b")).collect()}
+    found = df.select("doc_id", quality.buckets_of(quality.hashes_of(quality.words_of(F.col("text"))), buckets).alias("b"), quality.is_held_out().alias("out")).collect()
+    features, out = {r["doc_id"]: r["b"] for r in found}, {r["doc_id"]: r["out"] for r in found}
     raw, good = [0] * buckets, [0] * buckets
     for i, b in features.items():
         for x in b:
             raw[x] += 1
-            good[x] += i < 20 and i % 2
-    k = quality.SMOOTHING
-    w = [math.log((g * sum(raw) / sum(good) + k) / (r + k)) for g, r in zip(good, raw)]
+            good[x] += i < 20 and i % 2 and not out[i]
+    # Half of the target's rates are the corpus's: log((p_target + p_raw) / (2 p_raw)).
+    w = [math.log((g / sum(good) + r / sum(raw)) / (2 * r / sum(raw))) if r else 0.0 for g, r in zip(good, raw)]
+    assert any(out.values()) and quality.MIXED == 1
     for i, b in features.items():
         assert len(b) == max(0, 2 * len(brute.words(dict(rows)[i])) - 1)
         assert got[i] == pytest.approx(sum(w[x] for x in b) / len(b) if b else 0.0, abs=1e-9)
 
 
+@pytest.mark.parametrize("case", ["both", "no bad", "none held out", "good reach below"])
+def test_threshold_matches_scores_by_hand(spark, monkeypatch, case):
+    monkeypatch.setattr(quality, "MIN_WORDS", 3)
+    monkeypatch.setattr(quality, "HELD_OUT", 1 << 40 if case == "none held out" else 2)
+    monkeypatch.setattr(quality.buckets_of, "__defaults__", (8,))
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdef" if i % 3 else "defghi") for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    quality_of = {i: int(i % 3 > 0 if case != "good reach below" else i % 2) for i in range(0, 120) if case != "no bad" or i % 3}
+    labels = spark.createDataFrame(list(quality_of.items()), "doc_id long, quality int")
+    weights = quality.bucket_weights(df, "doc_id", "text", labels, "doc_id", F.col("quality") == 1, 8)
+    got = quality.threshold_of(df, "doc_id", "text", weights, labels, "doc_id", F.col("quality") == 1, F.col("quality") == 0)
+    scores = {}
+    for r in quality.judge(df, "doc_id", "text", weights, 0.0).join(df.select("doc_id", quality.is_held_out().alias("out")), "doc_id").collect():
+        if r["n_words"] >= 3 and r["doc_id"] in quality_of:
+            scores.setdefault((quality_of[r["doc_id"]], r["out"]), []).append(r["log_ratio"])
+    good, bad = (sorted(scores.get((q, True)) or scores.get((q, False)) or []) for q in (1, 0))
+    assert ((1, True) in scores) == (case != "none held out")
+
+    def quantile(x, p):
+        import math
+        return x[max(0, math.ceil(p * len(x)) - 1)]
+    below = 2 * quantile(good, 0.01) - quantile(good, 0.5)
+    want = max(below, min(quantile(good, 0.01), (sum(good) / len(good) + sum(bad) / len(bad)) / 2)) if bad else below
+    assert got == pytest.approx(want, abs=2e-9)
+
+
 def test_quality_tells_labelled_documents_apart(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = quality.op9_quality(spark, "/root/testdata/sf0.1").where("not base_failed").join(labels, "doc_id")
@@ -89,10 +117,10 @@ def test_quality_tells_labelled_documents_apart(spark):
 def test_without_labels_only_the_base_rules_count(spark):
     df = brute.awkward(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
-    out = quality.judge(df, "doc_id", "text", quality.good_weights(df, none)).collect()
+    out = quality.judge(df, "doc_id", "text", *quality.good_weights(df, none)).collect()
     assert all(r["log_ratio"] == 0 and r["kept"] == (not r["base_failed"]) for r in out)
     empty = brute.empty(spark)
-    assert quality.judge(empty, "doc_id", "text", quality.good_weights(empty, none)).collect() == []
+    assert quality.judge(empty, "doc_id", "text", *quality.good_weights(empty, none)).collect() == []
 
 
 SECRETS = [
@@ -181,13 +209,13 @@ def test_nothing_of_a_partly_covered_secret_stays(spark):
 
 def test_verdicts_do_not_depend_on_the_size_of_corpus_or_label_set(spark, monkeypatch):
     monkeypatch.setattr(quality.buckets_of, "__defaults__", (1 << 12,))
-    monkeypatch.setattr(quality.bucket_weights, "__defaults__", (1 << 12, None))
+    monkeypatch.setattr(quality.bucket_weights, "__defaults__", (1 << 12, quality.MIXED))
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
 
     def kept(d, l):
-        out = quality.judge(docs, "doc_id", "text", quality.good_weights(d, l))
+        out = quality.judge(docs, "doc_id", "text", *quality.good_weights(d, l))
         return {r["doc_id"]: r["kept"] for r in out.collect()}
 
     def copied(df):
