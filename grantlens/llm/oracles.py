@@ -47,9 +47,11 @@ sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, root) AS (
   SELECT doc_id, doc_id FROM d
   UNION SELECT l.b, r.root FROM reach r JOIN sides l ON l.a = r.doc_id)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.root AS component_id, coalesce(c.class_id, d.doc_id) AS class_id
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.root AS component_id, coalesce(c.class_id, d.doc_id) AS class_id,
+       CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM sides GROUP BY a) l ON l.doc_id = d.doc_id
 LEFT JOIN (SELECT b AS doc_id, min(a) AS class_id FROM links WHERE same GROUP BY b) c ON c.doc_id = d.doc_id
 """
 

@@ -130,6 +130,21 @@ def held_out(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
 
 
+def jaccard_links(rows, size=4, percent=85):
+    """For each row the number of other rows that it links with, by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = words(lower(t))
+        sets.append({tuple(w[j:j + size]) for j in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    out = [0] * len(rows)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                out[i] += 1
+                out[j] += 1
+    return out
+
+
 def jaccard_components(rows, size=4, percent=85):
     """{id: (set size, component)} by comparing every pair that shares a shingle."""
     sets = {}

@@ -56,8 +56,9 @@ def near_copies():
     return rows + [(9003, "A b"), (9004, "a B"), (9005, "a b c")]
 
 
-@pytest.mark.parametrize("block,frequent", [(1 << 19, 50), (300, 3)])
-def test_components_match_brute_force(spark, monkeypatch, block, frequent):
+@pytest.mark.parametrize("block,frequent,probe", [(1 << 19, 50, 25), (300, 3, 0)])
+def test_components_match_brute_force(spark, monkeypatch, block, frequent, probe):
+    monkeypatch.setattr(jaccard, "PROBE", probe)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "QUERIES", block)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
@@ -67,6 +68,19 @@ def test_components_match_brute_force(spark, monkeypatch, block, frequent):
     assert got == brute.jaccard_components([(r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is not None])
     assert len(out) == df.count() and any(k != c for k, (_, c) in got.items())
     assert [r["component_id"] for r in out if r["doc_id"] is None] == [None]
+    rows = [(r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is not None]
+    assert sorted((r["doc_id"], r["n_links"]) for r in out if r["doc_id"] is not None) == sorted((i, n) for (i, _), n in zip(rows, brute.jaccard_links(rows)))
+
+
+def test_different_texts_under_one_id_are_one_node(spark):
+    rng = random.Random(6)
+    a, b = ([f"{x}{rng.randint(0, 99)}" for _ in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "end"])), (3, " ".join(b)), (4, "alone with its few words"), (4, "alone with its few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(tuple(r) for r in jaccard.jaccard_components(df, "doc_id", "text").select("doc_id", "component_id", "n_links").collect())
+    assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 1), (4, 4, 1)]
+    kept = jaccard.one_of_each(df, "doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[1], rows[4]])
 
 
 def test_one_of_each_group_stays(spark):
