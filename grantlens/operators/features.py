@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from grantlens.functions.cleaning import log1p_of, value_per_household_serve
 from grantlens.operators import stats
+from grantlens.plans.materialize import written
 from grantlens.session import broadcast_if_small
 
 # The 12 model features in their fixed order.
@@ -26,16 +27,6 @@ DEFAULT_RECORDS = 1.0
 UNSEEN_CODE = 0
 
 
-def codes(df: DataFrame, column: str, code_col: str) -> DataFrame:
-    """0-based code of each distinct value in sorted (code point) order.
-
-    The window ranks distinct values only (bounded by the category count).
-    """
-    distinct = df.where(F.col(column).isNotNull()).select(column).distinct()
-    return distinct.withColumn(code_col, (F.row_number().over(Window.orderBy(column)) - 1)
-                               .cast("int"))
-
-
 def label_encode(apps: DataFrame, columns=stats.CATEGORY_COLUMNS) -> DataFrame:
     """E1 in long form: (category, value, code)."""
     return (stats.category_lists(apps, columns)
@@ -43,12 +34,9 @@ def label_encode(apps: DataFrame, columns=stats.CATEGORY_COLUMNS) -> DataFrame:
 
 
 def _coded_stats(apps: DataFrame):
-    ms = stats.municipality_stats(apps)
-    ps = stats.program_stats(apps)
-    ms = ms.withColumn("m_enc", (F.row_number().over(Window.orderBy("Municipio")) - 1).cast("int"))
-    ps = ps.withColumn("p_enc", (F.row_number().over(Window.orderBy("Programa")) - 1).cast("int"))
-    dc = codes(apps, "Departamento", "d_enc")
-    return tuple(broadcast_if_small(ms, ps, dc))
+    """Municipality and program statistics with their codes, and department codes, each broadcast if measured small."""
+    codes = written(label_encode(apps), "codes")  # one ranking for the three columns
+    return saved_stats({"municipality_stats": stats.municipality_stats(apps), "program_stats": stats.program_stats(apps), "category_codes": codes})
 
 
 def with_history(apps: DataFrame) -> DataFrame:
@@ -71,11 +59,8 @@ def with_prior_history(apps: DataFrame) -> DataFrame:
     program history likewise on (Programa, year); codes as in E1.  Rows in
     a key's first year have no history and get the serving defaults (J3).
     """
-    dc = codes(apps, "Departamento", "d_enc")
-    ms = stats.municipality_stats(apps).select("Municipio").withColumn(
-        "m_enc", (F.row_number().over(Window.orderBy("Municipio")) - 1).cast("int"))
-    ps = stats.program_stats(apps).select("Programa").withColumn(
-        "p_enc", (F.row_number().over(Window.orderBy("Programa")) - 1).cast("int"))
+    codes = written(label_encode(apps), "codes")
+    dc, ms, ps = (coded(codes, c, e) for c, e in (("Departamento", "d_enc"), ("Municipio", "m_enc"), ("Programa", "p_enc")))
     mh = stats.prior_history(apps, "Municipio").select(
         "Municipio", "Anio_int", F.col("prior_ap").alias("hist_ap"),
         F.col("prior_hh").alias("hist_hh"),
@@ -245,14 +230,17 @@ def profile_standardized(profile: DataFrame, columns=PROFILE_FEATURES,
     return filled.select(out)
 
 
+def coded(codes: DataFrame, category: str, name: str) -> DataFrame:
+    """(category, name): the codes of one category column."""
+    return codes.where(F.col("category") == category).select(F.col("value").alias(category), F.col("code").alias(name))
+
+
 def saved_stats(lookups: dict[str, DataFrame]):
     """Statistics with codes, and department codes, from lookup tables as they were saved at training."""
-    def coded(category: str, code: str) -> DataFrame:
-        return lookups["category_codes"].where(F.col("category") == category).select(
-            F.col("value").alias(category), F.col("code").alias(code))
-    ms = lookups["municipality_stats"].join(coded("Municipio", "m_enc"), "Municipio", "left")
-    ps = lookups["program_stats"].join(coded("Programa", "p_enc"), "Programa", "left")
-    return tuple(broadcast_if_small(ms, ps, coded("Departamento", "d_enc")))
+    codes = lookups["category_codes"]
+    ms = lookups["municipality_stats"].join(coded(codes, "Municipio", "m_enc"), "Municipio", "left")
+    ps = lookups["program_stats"].join(coded(codes, "Programa", "p_enc"), "Programa", "left")
+    return tuple(broadcast_if_small(ms, ps, coded(codes, "Departamento", "d_enc")))
 
 
 def serving_features(requests: DataFrame, apps: DataFrame | None, national_rate: float,

@@ -8,15 +8,18 @@ scale to 0 and the stage persists with the model), a
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.operators.features import FEATURES, LABEL
+from grantlens.operators.ranking import ranked
+from grantlens.plans.materialize import written
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,8 @@ MODEL_SPECS = {
 }
 #: Split candidates per feature: more than the municipality codes of the reference's data (984).
 MAX_BINS = 1024
+#: Most steps of a walk back into the range of a permutation.
+WALK = 64
 # The serving threshold and the MLP's training threshold.
 SERVE_THRESHOLD = 0.5
 MISSING_PROB = 0.5
@@ -127,43 +132,58 @@ def score(model: PipelineModel | None, df: DataFrame, id_col: str = "app_id",
                       (F.col("prob") >= threshold).cast("int").alias("prediction"))
 
 
-def permute_column(df: DataFrame, col: str, key: str = "app_id", seed: int = 7,
-                   bucket_rows: int = 1024) -> DataFrame:
-    """Shuffle one column across rows without a global window.
+def bijection(rank: Column, n: int, seed: int = 7, rounds: int = 6) -> Column:
+    """A keyed permutation of 0..n-1: the place that each rank is sent to.
 
-    Rows fall into hash buckets of about ``bucket_rows``; inside each
-    bucket the column is rotated by one position in hash order, which is
-    a permutation of the whole column.
+    A generalised Feistel network on pairs (left of a, right of b), a * b the
+    least such product of near squares from n on: in turn, each half is moved
+    by a hash of the other, which can be undone, so pairs are permuted.  The
+    fewer than a places beyond n are sent on until they fall below it; a walk of
+    ``WALK`` steps that never does has a probability of at most n**(-WALK / 2).
     """
-    n = df.count()
-    buckets = max(1, n // bucket_rows)
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    d = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
-    w = Window.partitionBy("_b").orderBy("_h", key)
-    wall = Window.partitionBy("_b").orderBy("_h", key).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    rotated = F.coalesce(F.lead(col, 1).over(w), F.first(col).over(wall))
-    return d.withColumn(col, rotated).drop("_h", "_b")
-
-
-def permuted_variants(df: DataFrame, features=FEATURES, key: str = "app_id", seed: int = 7,
-                      bucket_rows: int = 1024) -> DataFrame:
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    b = max(1, -(-n // a))
+
+    def once(x):
+        pair = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), F.pmod(x, F.lit(b)).cast("long").alias("r"))
+
+        def turn(p, i):
+            return F.when(i % 2 == 0, F.struct(F.pmod(p["l"] + F.pmod(F.xxhash64(p["r"], i, F.lit(seed)), F.lit(a)), F.lit(a)).alias("l"), p["r"].alias("r"))) \
+                .otherwise(F.struct(p["l"].alias("l"), F.pmod(p["r"] + F.pmod(F.xxhash64(p["l"], i, F.lit(seed)), F.lit(b)), F.lit(b)).alias("r")))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), pair, turn, lambda p: p["l"] * F.lit(b) + p["r"])
+
+    steps = min(WALK, a * b - n)
+    first = once(rank.cast("long"))
+    if not steps:
+        return first
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda x, _: F.when(x >= F.lit(n), once(x)).otherwise(x))
+
+
+def with_partner(df: DataFrame, features, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_rot_<feature>``: the values of the row that each row is sent to, over the whole table.
+
+    Rows are ranked by their key without a global window; the partner's values come by one join on the rank.  So a
+    row's partner depends on the keys and the seed, not on how the table is partitioned.
+    """
+    placed = written(ranked(df, [key], "_rank"), "permutation")
+    others = placed.select(F.col("_rank").alias("_partner"), *(F.col(c).alias(f"_rot_{c}") for c in features))
+    return placed.withColumn("_partner", bijection(F.col("_rank"), placed.count(), seed)).join(others, "_partner").drop("_rank", "_partner")
+
+
+def permute_column(df: DataFrame, col: str, key: str = "app_id", seed: int = 7) -> DataFrame:
+    """Shuffle one column across all rows."""
+    return with_partner(df, [col], key, seed).withColumn(col, F.col(f"_rot_{col}")).drop(f"_rot_{col}")
+
+
+def permuted_variants(df: DataFrame, features=FEATURES, key: str = "app_id", seed: int = 7) -> DataFrame:
     """The rows once as they are and once per feature with that feature permuted.
 
-    Every feature uses the rotation of ``permute_column`` (same buckets,
-    same order), and all rotated columns come out of one window pass.
-    ``_variant`` is ``__base__`` or the permuted feature's name.
+    Every feature uses the permutation of ``permute_column``, so all permuted
+    columns come out of one join.  ``_variant`` is ``__base__`` or the permuted
+    feature's name.
     """
-    n = df.count()
-    buckets = max(1, n // bucket_rows)
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    d = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
-    w = Window.partitionBy("_b").orderBy("_h", key)
-    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     keep = [c for c in df.columns if c not in features]
-    d = d.select(*keep, *features,
-                 *[F.coalesce(F.lead(c, 1).over(w), F.first(c).over(wall)).alias(f"_rot_{c}")
-                   for c in features])
+    d = with_partner(df.select(*keep, *features), features, key, seed)
     variants = [F.struct(F.lit(BASE_VARIANT).alias("_variant"), *[F.col(c) for c in features])]
     for c in features:
         variants.append(F.struct(F.lit(c).alias("_variant"),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grantlens.operators.ranking import ranked_within
+
 CATEGORY_COLUMNS = ("Departamento", "Municipio", "Programa")
 
 
@@ -54,16 +56,15 @@ def national_rate(apps: DataFrame) -> float:
 def category_lists(apps: DataFrame, columns=CATEGORY_COLUMNS) -> DataFrame:
     """A4: sorted distinct values per category column, as (category, value, position).
 
-    Each column is reduced to its distinct values before the (small)
-    ranking window, so no window ever sees raw rows.
+    Each column is reduced to its distinct values, which are ranked by range
+    partitions: no task holds all values of a column.
     """
     parts = [apps.select(F.lit(c).alias("category"), F.col(c).alias("value"))
              .where(F.col("value").isNotNull()).distinct() for c in columns]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy("category").orderBy("value")
-    return out.withColumn("position", F.row_number().over(w) - 1)
+    return ranked_within(out, "category", ["value"], "position")
 
 
 def dataset_bounds(apps: DataFrame) -> DataFrame:

@@ -484,20 +484,42 @@ def q_ablation(spark, sf_dir):
     return training.ablation(training.prepare(spark, sf_dir))
 
 
+_SAVED: dict = {}
+
+
 def _saved_serving(spark, sf_dir):
-    """Paths of the lookups and models that training saves and scoring loads."""
+    """The folder in which one version of lookups (with the clusters) and models is saved, once per session and data folder."""
     from grantlens.session import scratch_path
     from grantlens.sources import artifacts
-    path = scratch_path(spark, "serving")
-    lookups = artifacts.write_lookups(artifacts.build_lookups(_apps(spark, sf_dir)), f"{path}/lookups")
-    td = training.prepare(spark, sf_dir)
-    return lookups, training.save_models(td, f"{path}/models", tables.SELECTABLE_MODELS)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        base, td = scratch_path(spark, "serving"), training.prepare(spark, sf_dir)
+        lookups = artifacts.build_lookups(_apps(spark, sf_dir), clustering.relabeled(*_kmeans(spark, sf_dir)))
+        artifacts.save_version(spark, base, lookups, lambda path: training.save_models(td, path, tables.SELECTABLE_MODELS))
+        _SAVED[key] = base
+    return _SAVED[key]
 
 
 @query("batch_score")
 def q_batch_score(spark, sf_dir):
     """G1-G4 with the fitted models on every derived request."""
-    return serving.batch_score(spark, _requests(spark, sf_dir), *_saved_serving(spark, sf_dir))
+    return serving.batch_score(spark, _requests(spark, sf_dir), _saved_serving(spark, sf_dir))
+
+
+@query("batch_response")
+def q_batch_response(spark, sf_dir):
+    """G4 nested, with J4/J5, as the batch and stream jobs answer: the fitted models and clusters."""
+    return serving.batch_respond(spark, _requests(spark, sf_dir), _saved_serving(spark, sf_dir))
+
+
+@query("score_response")
+def q_score_response(spark, sf_dir):
+    """G4 nested with J4/J5/J7 for every request, its structs laid out as columns; stand-in probabilities and clusters."""
+    req = _requests(spark, sf_dir).select(
+        "req_id", "modelo", "municipio", scoring.standin_probability("req_id", 37, 997).alias("prob_sel"),
+        scoring.standin_probability("req_id", 53, 991).alias("prob_ref"))
+    clusters = scoring.rate_clusters(stats.municipality_profile(_apps(spark, sf_dir)))
+    return scoring.flat_response(scoring.response_struct(scoring.score_compare(req, spark, keep=("municipio",)), clusters))
 
 
 # ---------------------------------------------------------------- clustering (rows-only)
@@ -638,13 +660,10 @@ def q_write_lookups(spark, sf_dir):
 def q_stream_score(spark, sf_dir):
     """Requests written as files, scored by a streaming query, sink read back."""
     from grantlens.session import scratch_path
-    from grantlens.sources import artifacts
     from grantlens.streaming.scoring import start_stream_score
     base = scratch_path(spark, "stream")
     req = _requests(spark, sf_dir)
     req.write.mode("overwrite").parquet(f"{base}/in")
-    lookups, saved = _saved_serving(spark, sf_dir)
-    q = start_stream_score(spark, f"{base}/in", req.schema, artifacts.read_lookups(spark, lookups),
-                           training.load_models(saved), f"{base}/out", f"{base}/ckpt")
+    q = start_stream_score(spark, f"{base}/in", req.schema, _saved_serving(spark, sf_dir), f"{base}/out", f"{base}/rejected", f"{base}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")

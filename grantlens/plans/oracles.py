@@ -351,14 +351,20 @@ lists AS (
 sc AS (
   SELECT CAST(min(Anio_int) AS DOUBLE) AS anio_min, CAST(max(Anio_int) AS DOUBLE) AS anio_max,
          CAST(count(*) AS DOUBLE) AS registros, CAST(count(DISTINCT Municipio) AS DOUBLE) AS municipios,
-         avg(Aprobado) AS tasa_aprobacion FROM apps
-)
+         CAST(count(DISTINCT Departamento) AS DOUBLE) AS departamentos, avg(Aprobado) AS tasa_aprobacion,
+         1.0 - avg(Aprobado) AS tasa_noejec, CAST(sum(Hogares) AS DOUBLE) AS hogares_totales,
+         CAST(sum(CAST(round(Valor_Num * 100.0) AS BIGINT)) AS DOUBLE) / 100.0 AS valor_total,
+         CAST(coalesce(sum(CASE WHEN Aprobado = 0 THEN CAST(round(Valor_Num * 100.0) AS BIGINT) END), 0) AS DOUBLE) / 100.0 AS valor_perdido,
+         CAST(count(DISTINCT Programa) AS DOUBLE) AS programas, CAST(count(DISTINCT Estado) AS DOUBLE) AS estados
+  FROM apps
+),
+hm(modelo, f1, auc) AS (VALUES
+  ('Logistic Regression', 0.8637, 0.8623), ('Random Forest', 0.9100, 0.8750), ('XGBoost', 0.9274, 0.9110),
+  ('Gradient Boosting', 0.9266, 0.9072), ('Red MLP', 0.9214, 0.8953))
 SELECT item, position, text_value, num_value FROM lists
-UNION ALL SELECT 'anio_min', 0, NULL, anio_min FROM sc
-UNION ALL SELECT 'anio_max', 0, NULL, anio_max FROM sc
-UNION ALL SELECT 'registros', 0, NULL, registros FROM sc
-UNION ALL SELECT 'municipios', 0, NULL, municipios FROM sc
-UNION ALL SELECT 'tasa_aprobacion', 0, NULL, round(tasa_aprobacion, 6) FROM sc
+UNION ALL SELECT item, 0, NULL, round(num_value, 6) FROM (UNPIVOT sc ON COLUMNS(*) INTO NAME item VALUE num_value)
+UNION ALL SELECT 'F1-Score', 0, modelo, CAST(f1 AS DOUBLE) FROM hm
+UNION ALL SELECT 'AUC-ROC', 0, modelo, CAST(auc AS DOUBLE) FROM hm
 """)
 
 oracle("policy_reward")(PROFILE + """
@@ -449,6 +455,13 @@ LEFT JOIN ms ON r.municipio = ms.Municipio
 LEFT JOIN ps ON r.programa = ps.Programa
 """)
 
+APPS_ONLY_HM = """
+, hm(modelo, f1_historico, auc_historico) AS (VALUES
+  ('Logistic Regression', 0.8637, 0.8623), ('Random Forest', 0.9100, 0.8750),
+  ('XGBoost', 0.9274, 0.9110), ('Gradient Boosting', 0.9266, 0.9072),
+  ('Red MLP', 0.9214, 0.8953))
+"""
+
 _CLASS = ("CASE WHEN {p} >= 0.70 THEN 'APROBADO' WHEN {p} >= 0.45 THEN 'EN RIESGO' "
           "ELSE 'NO RECOMENDADO' END")
 _LEVEL = "CASE WHEN {p} >= 0.70 THEN 'bajo' WHEN {p} >= 0.45 THEN 'medio' ELSE 'alto' END"
@@ -488,6 +501,33 @@ FROM (SELECT s.*, h.f1_historico, h.auc_historico
       FROM scored s LEFT JOIN hm h ON s.modelo = h.modelo) s
 """)
 
+oracle("score_response")(APPS_ONLY_HM + f"""
+, cl AS (
+  SELECT Municipio, avg(Aprobado) AS rate, CAST(least(4, floor((1.0 - avg(Aprobado)) * 5.0)) AS INT) AS cluster
+  FROM apps WHERE Municipio IS NOT NULL GROUP BY Municipio
+),
+ct AS (SELECT cluster, avg(rate) AS cluster_tasa FROM cl GROUP BY cluster),
+names(cluster, cluster_perfil, accion) AS (VALUES
+  (0, 'Alta eficiencia rural', 'Priorizar para escalar'), (1, 'Rendimiento alto', 'Asignaciones directas confiables'),
+  (2, 'Rendimiento medio-alto', 'Candidato a mayor volumen'), (3, 'Alto volumen urbano', 'Monitoreo continuo'),
+  (4, 'Bajo rendimiento', 'Intervencion previa obligatoria')),
+scored AS (
+  SELECT req_id, modelo, municipio, CAST((req_id * 37) % 997 AS DOUBLE) / 997.0 AS prob_sel, CAST((req_id * 53) % 991 AS DOUBLE) / 991.0 AS prob_ref
+  FROM requests
+)
+SELECT s.req_id, s.modelo AS sel_modelo, round_even(prob_sel, 4) AS sel_probabilidad,
+       {_CLASS.format(p='prob_sel')} AS sel_clasificacion, {_LEVEL.format(p='prob_sel')} AS sel_nivel_riesgo,
+       CAST(coalesce(h.f1_historico, 0.0) AS DOUBLE) AS sel_f1_historico, CAST(coalesce(h.auc_historico, 0.0) AS DOUBLE) AS sel_auc_historico,
+       cl.cluster AS sel_cluster, n.cluster_perfil AS sel_cluster_perfil, round(ct.cluster_tasa, 6) AS sel_cluster_tasa, n.accion AS sel_accion,
+       'XGBoost' AS ref_modelo, round_even(prob_ref, 4) AS ref_probabilidad,
+       {_CLASS.format(p='prob_ref')} AS ref_clasificacion, {_LEVEL.format(p='prob_ref')} AS ref_nivel_riesgo,
+       CAST(0.9274 AS DOUBLE) AS ref_f1_historico, CAST(0.9110 AS DOUBLE) AS ref_auc_historico,
+       cl.cluster AS ref_cluster, n.cluster_perfil AS ref_cluster_perfil, round(ct.cluster_tasa, 6) AS ref_cluster_tasa, n.accion AS ref_accion,
+       round_even(abs(prob_sel - prob_ref), 4) AS diferencia_prob, {_INTERP.replace("modelo ||", "s.modelo ||").replace("|| modelo", "|| s.modelo")} AS interpretacion
+FROM scored s LEFT JOIN hm h ON s.modelo = h.modelo LEFT JOIN cl ON cl.Municipio = s.municipio
+LEFT JOIN ct ON ct.cluster = cl.cluster LEFT JOIN names n ON n.cluster = cl.cluster
+""")
+
 oracle("model_comparison")(VALID + f"""
 , chosen AS (SELECT DISTINCT modelo AS modelo_sel FROM requests WHERE modelo IN ({_MODEL_IN}))
 SELECT c.modelo_sel, 'seleccionado' AS rol, h.modelo, CAST(h.f1_historico AS DOUBLE) AS f1_historico,
