@@ -39,37 +39,39 @@ def _coded_stats(apps: DataFrame):
     return saved_stats({"municipality_stats": stats.municipality_stats(apps), "program_stats": stats.program_stats(apps), "category_codes": codes})
 
 
-def with_history(apps: DataFrame) -> DataFrame:
+def with_history(apps: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """J1, J2 + E1: left-join municipality/program statistics and codes.
 
     One join per key: the code of a municipality/program rides on its
     statistics row.  Statistics include each row's own label (the
     reference's ``mode="full"``; see ``stats.prior_history`` for E9).
+    ``of`` holds the cells of the applications, if they are written.
     """
-    ms, ps, dc = _coded_stats(apps)
+    ms, ps, dc = _coded_stats(apps if of is None else of)
     return (apps.join(ms, "Municipio", "left")
             .join(ps, "Programa", "left")
             .join(dc, "Departamento", "left"))
 
 
-def with_prior_history(apps: DataFrame) -> DataFrame:
+def with_prior_history(apps: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """J1, J2 with E9: history from strictly earlier years only (no label leak).
 
     Municipality history comes from ``prior_history`` on (Municipio, year),
     program history likewise on (Programa, year); codes as in E1.  Rows in
     a key's first year have no history and get the serving defaults (J3).
     """
-    codes = written(label_encode(apps), "codes")
+    of = apps if of is None else of
+    codes = written(label_encode(of), "codes")
     dc, ms, ps = (coded(codes, c, e) for c, e in (("Departamento", "d_enc"), ("Municipio", "m_enc"), ("Programa", "p_enc")))
-    mh = stats.prior_history(apps, "Municipio").select(
+    mh = stats.prior_history(of, "Municipio").select(
         "Municipio", "Anio_int", F.col("prior_ap").alias("hist_ap"),
         F.col("prior_hh").alias("hist_hh"),
         F.when(F.col("prior_n") > 0, F.col("prior_n")).alias("n_reg"))
-    ph = stats.prior_history(apps, "Programa").select(
+    ph = stats.prior_history(of, "Programa").select(
         "Programa", "Anio_int", F.col("prior_ap").alias("prog_ap"),
         F.col("prior_hh").alias("prog_hh"))
     mh, ph, ms, ps, dc = broadcast_if_small(mh, ph, ms, ps, dc)
-    rate = F.lit(float(stats.national_rate(apps)))
+    rate = F.lit(float(stats.national_rate(of)))
     return (apps.join(mh, ["Municipio", "Anio_int"], "left")
             .join(ph, ["Programa", "Anio_int"], "left")
             .join(ms, "Municipio", "left").join(ps, "Programa", "left")
@@ -80,14 +82,14 @@ def with_prior_history(apps: DataFrame) -> DataFrame:
                           "n_reg": F.coalesce(F.col("n_reg").cast("double"), F.lit(DEFAULT_RECORDS))}))
 
 
-def training_matrix(apps: DataFrame, id_col: str = "app_id", mode: str = "full") -> DataFrame:
+def training_matrix(apps: DataFrame, id_col: str = "app_id", mode: str = "full", of: DataFrame | None = None) -> DataFrame:
     """Id + 12 features + label, rows with any NULL/NaN dropped.
 
     ``mode="full"`` keeps the reference's statistics over all rows (each
     row's own label included); ``mode="prior"`` uses earlier years only.
     """
     cols = [id_col] + FEATURES + [LABEL]
-    joined = with_history(apps) if mode == "full" else with_prior_history(apps)
+    joined = with_history(apps, of) if mode == "full" else with_prior_history(apps, of)
     m = joined.select([F.col(c).cast("double") if c in FEATURES else F.col(c) for c in cols])
     return m.na.drop(subset=FEATURES + [LABEL])
 

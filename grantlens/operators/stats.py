@@ -1,9 +1,10 @@
 """Group statistics, KPIs and category lists.
 
-Every aggregate is a single ``groupBy().agg()`` so Spark runs a partial
-(map-side) aggregate before the shuffle; a hot key costs one row per
-map task, not its whole group.  Null group keys are dropped first
-(pandas ``groupby`` semantics).
+Every statistic is read from cells, one row per combination of the categories
+and the year (``operators.store``): given cells, no record is scanned; given
+applications, they are reduced to cells first, by one partial (map-side)
+aggregate, so a hot key costs one row per map task, not its whole group.
+Null group keys are dropped (pandas ``groupby`` semantics).
 """
 
 from __future__ import annotations
@@ -12,45 +13,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantlens.operators.ranking import ranked_within
+from grantlens.operators.store import cells
 
 CATEGORY_COLUMNS = ("Departamento", "Municipio", "Programa")
 
 
-def money_cents(col: str):
-    """Money as whole cents (exact integer sums at any scale)."""
-    return F.round(F.col(col) * F.lit(100.0)).cast("long")
+def mean_of(total: str, count: str):
+    """Mean of an exact sum: divided once, null without values."""
+    return F.try_divide(F.sum(total).cast("double"), F.sum(count))
 
 
-def exact_money_mean(col: str):
-    """Mean of a money column summed exactly in cents, then divided once."""
-    return F.sum(money_cents(col)).cast("double") / F.count(F.col(col)) / F.lit(100.0)
+def _rate():
+    return mean_of("cell_ap", "cell_n_ap")
+
+
+def _households():
+    return mean_of("cell_hh", "cell_n_hh")
 
 
 def municipality_stats(apps: DataFrame, key: str = "Municipio") -> DataFrame:
     """A1: mean approval, mean households and record count per municipality."""
-    return (apps.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.avg("Aprobado").alias("hist_ap"),
-                 F.avg("Hogares").alias("hist_hh"),
-                 F.count(F.lit(1)).alias("n_reg")))
+    return (cells(apps).where(F.col(key).isNotNull()).groupBy(key)
+            .agg(_rate().alias("hist_ap"), _households().alias("hist_hh"), F.sum("cell_n").alias("n_reg")))
 
 
 def program_stats(apps: DataFrame, key: str = "Programa") -> DataFrame:
     """A2: mean approval and mean households per program."""
-    return (apps.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.avg("Aprobado").alias("prog_ap"),
-                 F.avg("Hogares").alias("prog_hh")))
+    return (cells(apps).where(F.col(key).isNotNull()).groupBy(key)
+            .agg(_rate().alias("prog_ap"), _households().alias("prog_hh")))
 
 
 def dataset_kpis(apps: DataFrame) -> DataFrame:
     """A3: rows, distinct municipalities, approval rate (one row)."""
-    return apps.agg(F.count(F.lit(1)).alias("n_records"),
-                    F.countDistinct("Municipio").alias("n_municipalities"),
-                    F.avg("Aprobado").alias("approval_rate"))
+    return cells(apps).agg(F.coalesce(F.sum("cell_n"), F.lit(0)).alias("n_records"),
+                           F.countDistinct("Municipio").alias("n_municipalities"),
+                           _rate().alias("approval_rate"))
 
 
 def national_rate(apps: DataFrame) -> float:
     """Overall approval rate as a scalar (one-row aggregate)."""
-    return float(apps.agg(F.avg("Aprobado")).first()[0] or 0.0)
+    return float(cells(apps).agg(_rate()).first()[0] or 0.0)
 
 
 def category_lists(apps: DataFrame, columns=CATEGORY_COLUMNS) -> DataFrame:
@@ -69,8 +71,8 @@ def category_lists(apps: DataFrame, columns=CATEGORY_COLUMNS) -> DataFrame:
 
 def dataset_bounds(apps: DataFrame) -> DataFrame:
     """A5: min/max year, max households, max value (one row)."""
-    return apps.agg(F.min("Anio_int").alias("anio_min"), F.max("Anio_int").alias("anio_max"),
-                    F.max("Hogares").alias("hogares_max"), F.max("Valor_Num").alias("valor_max"))
+    return cells(apps).agg(F.min("Anio_int").alias("anio_min"), F.max("Anio_int").alias("anio_max"),
+                           F.max("cell_hh_max").alias("hogares_max"), F.max("cell_val_max").alias("valor_max"))
 
 
 def municipalities_by_department(apps: DataFrame, exploded: bool = True) -> DataFrame:
@@ -92,24 +94,23 @@ def municipalities_by_department(apps: DataFrame, exploded: bool = True) -> Data
 
 def municipality_profile(apps: DataFrame, key: str = "Municipio") -> DataFrame:
     """Rate, mean households, mean value, count, distinct programs."""
-    return (apps.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.avg("Aprobado").alias("tasa"),
-                 F.avg("Hogares").alias("hh_mean"),
-                 exact_money_mean("Valor_Num").alias("val_mean"),
-                 F.count(F.lit(1)).alias("n_reg"),
+    return (cells(apps).where(F.col(key).isNotNull()).groupBy(key)
+            .agg(_rate().alias("tasa"), _households().alias("hh_mean"),
+                 (mean_of("cell_cents", "cell_n_val") / F.lit(100.0)).alias("val_mean"),
+                 F.sum("cell_n").alias("n_reg"),
                  F.countDistinct("Programa").alias("n_prog")))
 
 
 def prior_history(apps: DataFrame, key: str = "Municipio", year: str = "Anio_int") -> DataFrame:
     """Leakage-free history per (key, year) from strictly earlier years.
 
-    Rows are first reduced to one row per (key, year); the running window
+    Cells are reduced to one row per (key, year); the running window
     then sees years, not records.  Years with no earlier data get NULL
     rates and 0 counts.
     """
-    per_year = (apps.where(F.col(key).isNotNull()).groupBy(key, year)
-                .agg(F.sum("Aprobado").alias("_ap"), F.sum("Hogares").alias("_hh"),
-                     F.count(F.lit(1)).alias("_n")))
+    per_year = (cells(apps).where(F.col(key).isNotNull()).groupBy(key, year)
+                .agg(F.sum("cell_ap").alias("_ap"), F.sum("cell_hh").alias("_hh"),
+                     F.sum("cell_n").alias("_n")))
     w = (Window.partitionBy(key).orderBy(year)
          .rangeBetween(Window.unboundedPreceding, -1))
     n_prev = F.coalesce(F.sum("_n").over(w), F.lit(0))

@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grantlens.operators.stats import mean_of
+from grantlens.operators.store import cells
+
 
 def yearly_series(apps: DataFrame, key: str = "Municipio", year: str = "Anio_int") -> DataFrame:
     """(key, year) -> households, approval rate, records."""
-    return (apps.where(F.col(key).isNotNull()).groupBy(key, year)
-            .agg(F.sum("Hogares").alias("hogares"), F.avg("Aprobado").alias("tasa"),
-                 F.count(F.lit(1)).alias("n")))
+    return (cells(apps).where(F.col(key).isNotNull()).groupBy(key, year)
+            .agg(F.sum("cell_hh").alias("hogares"), mean_of("cell_ap", "cell_n_ap").alias("tasa"),
+                 F.sum("cell_n").alias("n")))
 
 
 def rolling_mean(series: DataFrame, key: str, order: str, value: str, n: int = 5,

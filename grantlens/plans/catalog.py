@@ -45,6 +45,12 @@ def _apps(spark, sf_dir):
     return applications_table(spark, sf_dir)
 
 
+def _cells(spark, sf_dir):
+    """The store of partial aggregates: the statistics and reports read it, not the records."""
+    from grantlens.plans.materialize import cells_table
+    return cells_table(spark, sf_dir)
+
+
 def _requests(spark, sf_dir):
     return tables.requests_from_applications(_apps(spark, sf_dir))
 
@@ -71,19 +77,19 @@ def q_engineered_features(spark, sf_dir):
 @query("municipality_stats")
 def q_municipality_stats(spark, sf_dir):
     """A1."""
-    return stats.municipality_stats(_apps(spark, sf_dir))
+    return stats.municipality_stats(_cells(spark, sf_dir))
 
 
 @query("program_stats")
 def q_program_stats(spark, sf_dir):
     """A2."""
-    return stats.program_stats(_apps(spark, sf_dir))
+    return stats.program_stats(_cells(spark, sf_dir))
 
 
 @query("dataset_kpis")
 def q_dataset_kpis(spark, sf_dir):
     """A3."""
-    return stats.dataset_kpis(_apps(spark, sf_dir))
+    return stats.dataset_kpis(_cells(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- A4-A11
@@ -95,33 +101,33 @@ from grantlens.operators import (clustering, evaluation, features, reporting,  #
 @query("category_lists")
 def q_category_lists(spark, sf_dir):
     """A4."""
-    return stats.category_lists(_apps(spark, sf_dir)).withColumn(
+    return stats.category_lists(_cells(spark, sf_dir)).withColumn(
         "position", F.col("position").cast("long"))
 
 
 @query("dataset_bounds")
 def q_dataset_bounds(spark, sf_dir):
     """A5."""
-    return stats.dataset_bounds(_apps(spark, sf_dir))
+    return stats.dataset_bounds(_cells(spark, sf_dir))
 
 
 @query("municipalities_by_department")
 def q_municipalities_by_department(spark, sf_dir):
     """A6 (exploded rows)."""
-    return stats.municipalities_by_department(_apps(spark, sf_dir)).withColumn(
+    return stats.municipalities_by_department(_cells(spark, sf_dir)).withColumn(
         "position", F.col("position").cast("long"))
 
 
 @query("municipality_profile")
 def q_municipality_profile(spark, sf_dir):
     """A7."""
-    return stats.municipality_profile(_apps(spark, sf_dir))
+    return stats.municipality_profile(_cells(spark, sf_dir))
 
 
 @query("headline_kpis")
 def q_headline_kpis(spark, sf_dir):
     """A8 (money sums at cent precision)."""
-    k = reporting.headline_kpis(_apps(spark, sf_dir))
+    k = reporting.headline_kpis(_cells(spark, sf_dir))
     return (k.withColumn("valor_total", F.round("valor_total", 2))
             .withColumn("valor_perdido", F.round("valor_perdido", 2)))
 
@@ -129,26 +135,26 @@ def q_headline_kpis(spark, sf_dir):
 @query("yearly_trend")
 def q_yearly_trend(spark, sf_dir):
     """A9."""
-    return reporting.yearly_trend(_apps(spark, sf_dir))
+    return reporting.yearly_trend(_cells(spark, sf_dir))
 
 
 @query("state_distribution")
 def q_state_distribution(spark, sf_dir):
     """A10 / P12."""
-    return reporting.state_distribution(_apps(spark, sf_dir))
+    return reporting.state_distribution(_cells(spark, sf_dir))
 
 
 @query("dataset_metadata")
 def q_dataset_metadata(spark, sf_dir):
     """A11."""
-    return reporting.dataset_metadata(_apps(spark, sf_dir)).withColumn(
+    return reporting.dataset_metadata(_cells(spark, sf_dir)).withColumn(
         "position", F.col("position").cast("long"))
 
 
 @query("policy_reward")
 def q_policy_reward(spark, sf_dir):
     """P13 on each municipality's approval rate."""
-    p = stats.municipality_profile(_apps(spark, sf_dir))
+    p = stats.municipality_profile(_cells(spark, sf_dir))
     return p.select("Municipio", "tasa", bands.policy_reward("tasa").alias("reward"),
                     bands.policy_decision("tasa").alias("decision"))
 
@@ -157,20 +163,20 @@ def q_policy_reward(spark, sf_dir):
 @query("label_encode")
 def q_label_encode(spark, sf_dir):
     """E1."""
-    return features.label_encode(_apps(spark, sf_dir)).withColumn(
+    return features.label_encode(_cells(spark, sf_dir)).withColumn(
         "code", F.col("code").cast("long"))
 
 
 @query("training_matrix")
 def q_training_matrix(spark, sf_dir):
     """J1, J2, E1, E3, P8."""
-    return features.training_matrix(_apps(spark, sf_dir))
+    return features.training_matrix(_apps(spark, sf_dir), of=_cells(spark, sf_dir))
 
 
 @query("training_matrix_prior")
 def q_training_matrix_prior(spark, sf_dir):
     """E9 in the matrix: history from earlier years only."""
-    return features.training_matrix(_apps(spark, sf_dir), mode="prior")
+    return features.training_matrix(_apps(spark, sf_dir), mode="prior", of=_cells(spark, sf_dir))
 
 
 def _split_matrix(spark, sf_dir):
@@ -202,13 +208,13 @@ def q_class_weights(spark, sf_dir):
 @query("prior_history")
 def q_prior_history(spark, sf_dir):
     """E9."""
-    return stats.prior_history(_apps(spark, sf_dir))
+    return stats.prior_history(_cells(spark, sf_dir))
 
 
 def _profile_n(spark, sf_dir):
     # One row per municipality; checkpointed because the normalizing and
     # standardizing scalars and the neighbour join each read it again.
-    prof = stats.municipality_profile(_apps(spark, sf_dir)).checkpoint()
+    prof = stats.municipality_profile(_cells(spark, sf_dir)).checkpoint()
     return features.profile_normalized(prof)
 
 
@@ -237,9 +243,9 @@ def _validated(spark, sf_dir):
     from grantlens.session import broadcast_threshold
     key = (spark.sparkContext.applicationId, sf_dir, broadcast_threshold(spark))
     if key not in _VALIDATED:
-        apps = _apps(spark, sf_dir)
-        b = stats.dataset_bounds(apps).first()
-        _VALIDATED[key] = validation.validate_requests(_requests(spark, sf_dir), apps,
+        of = _cells(spark, sf_dir)
+        b = stats.dataset_bounds(of).first()
+        _VALIDATED[key] = validation.validate_requests(_requests(spark, sf_dir), of,
                                                        int(b["anio_min"]), int(b["anio_max"]))
     return _VALIDATED[key]
 
@@ -267,9 +273,8 @@ def q_accepted_requests(spark, sf_dir):
 @query("serving_features")
 def q_serving_features(spark, sf_dir):
     """J3, E2, P7 for every request (unseen categories -> code 0)."""
-    apps = _apps(spark, sf_dir)
-    return features.serving_features(_requests(spark, sf_dir), apps,
-                                     stats.national_rate(apps))
+    of = _cells(spark, sf_dir)
+    return features.serving_features(_requests(spark, sf_dir), of, stats.national_rate(of))
 
 
 def _standin_scored(spark, sf_dir):
@@ -342,7 +347,7 @@ def q_best_model_per_metric(spark, sf_dir):
 
 # ---------------------------------------------------------------- W*, T2
 def _series(spark, sf_dir):
-    return timeseries.yearly_series(_apps(spark, sf_dir))
+    return timeseries.yearly_series(_cells(spark, sf_dir))
 
 
 @query("rolling_mean")
@@ -494,7 +499,7 @@ def _saved_serving(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SAVED:
         base, td = scratch_path(spark, "serving"), training.prepare(spark, sf_dir)
-        lookups = artifacts.build_lookups(_apps(spark, sf_dir), clustering.relabeled(*_kmeans(spark, sf_dir)))
+        lookups = artifacts.build_lookups(_cells(spark, sf_dir), clustering.relabeled(*_kmeans(spark, sf_dir)))
         artifacts.save_version(spark, base, lookups, lambda path: training.save_models(td, path, tables.SELECTABLE_MODELS))
         _SAVED[key] = base
     return _SAVED[key]
@@ -518,7 +523,7 @@ def q_score_response(spark, sf_dir):
     req = _requests(spark, sf_dir).select(
         "req_id", "modelo", "municipio", scoring.standin_probability("req_id", 37, 997).alias("prob_sel"),
         scoring.standin_probability("req_id", 53, 991).alias("prob_ref"))
-    clusters = scoring.rate_clusters(stats.municipality_profile(_apps(spark, sf_dir)))
+    clusters = scoring.rate_clusters(stats.municipality_profile(_cells(spark, sf_dir)))
     return scoring.flat_response(scoring.response_struct(scoring.score_compare(req, spark, keep=("municipio",)), clusters))
 
 
@@ -651,7 +656,7 @@ def q_write_lookups(spark, sf_dir):
     from grantlens.session import scratch_path
     from grantlens.sources import artifacts
     clusters = clustering.relabeled(*_kmeans(spark, sf_dir))
-    paths = artifacts.write_lookups(artifacts.build_lookups(_apps(spark, sf_dir), clusters),
+    paths = artifacts.write_lookups(artifacts.build_lookups(_cells(spark, sf_dir), clusters),
                                     scratch_path(spark, "lookups"))
     return artifacts.lookup_summary(spark, paths)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grantlens.operators import store
 from grantlens.session import scratch_path
 from grantlens.sources import tables
 
@@ -28,6 +29,19 @@ def applications_table(spark: SparkSession, sf_dir: str, refresh: bool = False)
     return spark.read.parquet(_TABLES[key])
 
 
+_CELLS: dict[tuple, str] = {}
+
+
+def cells_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partial aggregates of the applications (``operators.store``), written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CELLS:
+        base = scratch_path(spark, "cells")
+        store.add(base, applications_table(spark, sf_dir), "0")
+        _CELLS[key] = base
+    return store.read(spark, _CELLS[key])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a fresh path in the shared folder and read it back.
 

@@ -42,14 +42,15 @@ def prepare(spark: SparkSession, sf_dir: str, apps: DataFrame | None = None) ->
     if key in _CACHE:
         return _CACHE[key]
     shared_dir(spark)
+    of = None
     if apps is None:
-        from grantlens.plans.materialize import applications_table
-        apps = applications_table(spark, sf_dir)
+        from grantlens.plans.materialize import applications_table, cells_table
+        apps, of = applications_table(spark, sf_dir), cells_table(spark, sf_dir)
     from grantlens.plans.materialize import written
     # The matrix is written once; the split counts and labels read it.
     # The labelled split is written too, so the five fits, the scaler and
     # the evaluations read a flat table ("split" filters push down).
-    matrix = written(features.training_matrix(apps), "training-matrix")
+    matrix = written(features.training_matrix(apps, of=of), "training-matrix")
     split = written(features.stratified_split(matrix), "training-split")
     bounds = features.minmax_fit(split.where(F.col("split") == "train"))
     td = TrainingData(split, bounds)

@@ -102,3 +102,33 @@ def test_profile_standardized_population_sigma(spark):
            features.profile_standardized(df, ["tasa"]).collect()}
     assert out == {"a": -1.0, "b": 1.0}
     assert F is not None
+
+
+def _flat(df):
+    return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(sorted(df.columns)).collect())
+
+
+def test_adding_to_the_store_equals_a_rebuild(spark, tmp_path):
+    from grantlens.operators import reporting, store, timeseries
+    from grantlens.sources import tables
+    apps = tables.applications(spark, "/root/testdata/sf0.001").persist()
+    odd = apps.limit(40).select(*[F.lit(None).cast(apps.schema[c].dataType).alias(c) if c in ("Municipio", "Estado") else F.col(c) for c in apps.columns])
+    apps = apps.unionByName(odd.withColumn("app_id", -F.col("app_id"))).persist()
+    base = str(tmp_path / "store")
+    for i in range(3):
+        store.add(base, apps.where(F.pmod("app_id", F.lit(3)) == i), str(i))
+    store.add(base, apps.where(F.pmod("app_id", F.lit(3)) == 1), "1")  # a load that is repeated counts once
+    merged = store.read(spark, base)
+    assert _flat(merged) == _flat(store.cells(apps))
+    for f in (stats.municipality_stats, stats.program_stats, stats.dataset_kpis, stats.category_lists, stats.dataset_bounds,
+              stats.municipalities_by_department, stats.municipality_profile, stats.prior_history, reporting.headline_kpis,
+              reporting.yearly_trend, reporting.state_distribution, timeseries.yearly_series):
+        assert _flat(f(merged)) == _flat(f(apps)), f.__name__
+    assert stats.municipality_stats(merged).where("hist_ap is null").count() == 0
+
+
+def test_reports_scan_no_records(spark):
+    import __spark_entry__ as E
+    for k in ("municipality_stats", "headline_kpis", "yearly_trend", "prior_history", "dataset_bounds", "state_distribution", "rolling_mean"):
+        plan = E.queries()[k](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "/cells-" in plan and "/applications-" not in plan, k
