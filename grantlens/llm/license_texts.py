@@ -1,50 +1,182 @@
-"""Notices and texts of public licences, as they are published."""
+"""Notices and texts of public licences.
 
-#: Name and text; names end in -notice where the text is a line that only points to the licence.
+A name ends in -notice where the text is a line that only points to the
+licence, in -header where it is the notice that a source file carries, and in
+-excerpt where it is the first part of a licence that is longer.  The other
+texts are whole, without their title and copyright line.  Of Apache-2.0, GPL,
+LGPL, AGPL, MPL-2.0 and the Creative Commons licences only notices and headers
+are here, not the licences' own texts; EPL, EUPL and CC0 are absent.
+
+The third entry are the word sequences that a match must hold: they tell a text
+from licences that differ in these words only.
+"""
+
+#: Name, text, and what a match must hold.
 TEMPLATES = (
-    ("MIT-notice", "Released under the MIT License."),
-    ("MIT-notice", "Licensed under the MIT License."),
-    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0-notice", "This work is licensed under the GNU General Public License, version 2."),
-    ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("BSD-notice", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
-     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
-     "purpose, commercial or non-commercial, and by any means."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
-     "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    ("MIT-notice", "Released under the MIT License.", ("mit",)),
+    ("MIT-notice", "Licensed under the MIT License.", ("mit",)),
+    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0.", ("apache", "2.0")),
+    ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3.", ("general public", "version 3")),
+    ("GPL-2.0-notice", "This work is licensed under the GNU General Public License, version 2.", ("general public", "version 2")),
+    ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0.", ("by-nc 4.0",)),
+    ("CC-BY-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("attribution 4.0",)),
+    ("CC-BY-SA-4.0-notice",
+     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("attribution-sharealike 4.0",)),
+    ("BSD-notice", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", ("bsd-style",)),
+    ("CC-BY-4.0-notice", "Licensed under CC BY 4.0.", ("cc by 4.0",)),
+    ("CC-BY-SA-4.0-notice", "Licensed under CC BY-SA 4.0.", ("cc by-sa 4.0",)),
+    ("CC-BY-ND-4.0-notice", "Licensed under CC BY-ND 4.0.", ("cc by-nd 4.0",)),
+    ("CC-BY-NC-SA-4.0-notice", "Licensed under CC BY-NC-SA 4.0.", ("cc by-nc-sa 4.0",)),
+    ("CC-BY-NC-ND-4.0-notice", "Licensed under CC BY-NC-ND 4.0.", ("cc by-nc-nd 4.0",)),
+    ("CC-BY-ND-4.0-notice",
+     "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ("commons attribution-noderivatives 4.0",)),
+    ("CC-BY-NC-4.0-notice",
+     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("commons attribution-noncommercial 4.0",)),
+    ("CC-BY-NC-SA-4.0-notice",
+     "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ("commons attribution-noncommercial-sharealike 4.0",)),
+    ("CC-BY-NC-ND-4.0-notice",
+     "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", ("commons attribution-noncommercial-noderivatives 4.0",)),
+    ("MPL-2.0-header",
+     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+     "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ("mozilla", "2.0")),
+    ("Apache-2.0-header",
+     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+     "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+     "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+     "governing permissions and limitations under the License.", ("apache", "2.0")),
+    ("GPL-3.0-header",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+     "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+     "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+     "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+     "details.", ("gnu general", "version 3")),
+    ("GPL-2.0-header",
+     "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+     "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+     "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+     "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+     "details.", ("gnu general", "version 2")),
+    ("AGPL-3.0-header",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+     "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+     "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License"
+     " for more details.", ("gnu affero general", "version 3")),
+    ("LGPL-3.0-header",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+     "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+     "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License"
+     " for more details.", ("gnu lesser general", "version 3")),
+    ("LGPL-2.1-header",
+     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+     "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+     "any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+     "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public "
+     "License for more details.", ("gnu lesser general", "version 2.1")),
+    ("Unlicense-excerpt",
+     "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+     "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+     "commercial or non-commercial, and by any means.", ()),
+    ("ISC-excerpt",
+     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
      "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
-     "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
-     "OF MERCHANTABILITY AND FITNESS."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES"
+     " OF MERCHANTABILITY AND FITNESS.", ()),
+    ("MIT-excerpt",
+     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
      "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
-     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-     "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
-     "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
-     "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
-     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
-     "required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
-     "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
-     "governing permissions and limitations under the License."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-     "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-     "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-     "that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-     "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
-     "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
-     "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and "
-     "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is "
-     "furnished to do so."),
-    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
-     "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
-     "purpose, including commercial applications, and to alter it and redistribute it freely."),
+     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit"
+     " persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+     "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+     "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", ()),
+    ("BSD-2-Clause-excerpt",
+     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+     "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+     "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+     "distribution.", ()),
+    ("Zlib-excerpt",
+     "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+     "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for"
+     " any purpose, including commercial applications, and to alter it and redistribute it freely.", ()),
+    ("BSL-1.0-excerpt",
+     "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+     "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+     "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+     "Software is furnished to do so.", ()),
+    ("MIT",
+     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit"
+     " persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+     "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+     "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+     "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ("dealings in the software",)),
+    ("ISC",
+     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+     "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES"
+     " OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+     "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+     "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+     "SOFTWARE.", ("performance of this software",)),
+    ("BSD-2-Clause",
+     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+     "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+     "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+     "distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+     "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+     "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+     "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+     "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+     "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+     "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", ("possibility of such damage",)),
+    ("BSD-3-Clause-excerpt",
+     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+     "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+     "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+     "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission.", ("endorse or promote",)),
+    ("BSD-3-Clause",
+     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+     "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+     "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+     "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY "
+     "THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+     "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+     "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+     "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR"
+     " BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+     "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+     "POSSIBILITY OF SUCH DAMAGE.", ("endorse or promote", "possibility of such damage")),
+    ("Zlib",
+     "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+     "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for"
+     " any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+     "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the "
+     "original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+     "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+     "misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+     "distribution.", ("any source distribution",)),
+    ("Unlicense",
+     "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+     "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+     "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors "
+     "of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication"
+     " for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to"
+     " be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright "
+     "law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+     "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"
+     " BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+     "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, "
+     "please refer to http://unlicense.org/", ("dealings in the software", "unlicense.org")),
 )

@@ -9,7 +9,9 @@ hits on neighbouring diagonals form a candidate, which is aligned to the
 template inside the band around these diagonals.  An alignment is reported
 with its matched coverage of the template and its span in code points if it
 covers ``COVERAGE`` of the template (``SHORT_COVERAGE`` for short notices,
-where one other word may name another licence).  Where a reported span lies
+where one other word may name another licence) and its span holds the word
+sequences that tell the template from others (a version, "Affero",
+"NoDerivatives").  A licence that no template is true to is not reported.  Where a reported span lies
 inside a longer one, the longer one stands for both.
 
 The scan is one pass without a shuffle.  Words are cut as in operator 10.
@@ -45,8 +47,9 @@ UNIT = 1 << 13
 
 class Index:
     def __init__(self, templates=TEMPLATES):
-        self.names = [n for n, _ in templates]
-        self.words = words_of_texts([t for _, t in templates])
+        self.names = [n for n, *_ in templates]
+        self.words = words_of_texts([t[1] for t in templates])
+        self.must = [words_of_texts(list(t[2])) if len(t) > 2 and t[2] else [] for t in templates]
         self.needed = [math.ceil(len(w) * (SHORT_COVERAGE if len(w) < SHORT_WORDS else COVERAGE) - 1e-9) for w in self.words]
         rows = []
         for k, w in enumerate(self.words):
@@ -90,7 +93,8 @@ class Index:
             spans = [(int(first[t]), int(first[t + 1])) for t, *_ in part]
             result = banded([self.words[k] for _, k, _, _ in part], h, spans,
                             [(low - self.slack(k), high + self.slack(k)) for _, k, low, high in part])
-            rows += [(t, k, *r) for (t, k, _, _), r in zip(part, result) if r[0] >= self.needed[k]]
+            rows += [(t, k, *r) for (t, k, _, _), r in zip(part, result)
+                     if r[0] >= self.needed[k] and all(holds(h[r[1]:r[2]], m) for m in self.must[k])]
         if not rows:
             return []
         start, end, _ = word_spans(data, off, _OTHER)
@@ -104,6 +108,12 @@ class Index:
                  int(points[end[b - 1]] - points[off[t]])) for t, k, matched, a, b in out]
 
 
+def holds(words: np.ndarray, run: np.ndarray) -> bool:
+    """Whether the words hold the run, one after the other."""
+    n = len(words) - len(run) + 1
+    return n > 0 and bool(np.logical_and.reduce([words[i:i + n] == w for i, w in enumerate(run)]).any())
+
+
 def banded(templates: list[np.ndarray], words: np.ndarray, spans: list[tuple[int, int]],
            bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(matched words, first, past last text word) of the best local alignment inside each band of diagonals."""

@@ -166,7 +166,7 @@ def duplicate_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = written(found.where(copy | (F.col("kinds") > 1)).select(
         "doc", F.col("q").alias("at"), copy.alias("copy"), F.col("f.doc").alias("ref_doc"), F.col("f.q").alias("ref_at")), "anchors")
     whole = found.where("copy").select("doc", "at", F.lit(True).alias("whole"), "ref_doc", "ref_at")
-    ends = found.where("not copy").groupBy("doc").agg(F.collect_list("at").alias("qs"))
+    ends = found.where("not copy").groupBy("doc").agg(F.collect_set("at").alias("qs"))
     windows = met_again(boundary_windows(docs.join(ends, "doc"), window), "w1", ["w1", "w2"], "p")
     partial = windows.where(F.struct("doc", "p") != F.col("f")).select(
         "doc", F.col("p").alias("at"), F.lit(False).alias("whole"), F.col("f.doc").alias("ref_doc"), F.col("f.p").alias("ref_at"))
@@ -199,7 +199,7 @@ def remove_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", wi
     # The same filtered frame meets the boundaries and the spans, so its texts are shuffled once.
     with_id, without = docs.where(F.col("doc").isNotNull()), docs.where(F.col("doc").isNull())
     spans = (duplicate_places(with_id, window)
-             .groupBy("doc").agg(F.collect_list(F.struct("at", "whole", "ref_doc", "ref_at")).alias("spans")))
+             .groupBy("doc").agg(F.collect_set(F.struct("at", "whole", "ref_doc", "ref_at")).alias("spans")))  # rows may repeat an id
     schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
                         ("factors", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()),
                                                         ("ref_doc", pa.int64()), ("ref_start", pa.int32())])))])

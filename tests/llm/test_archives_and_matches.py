@@ -117,10 +117,11 @@ def test_no_items_and_no_documents(spark):
 
 
 def test_licences(spark):
-    mit = dict(TEMPLATES)["MIT"].split()
+    texts = {n: t for n, t, _ in TEMPLATES}
+    mit = texts["MIT"].split()
     rows = [(0, "foo é bar " + " ".join(mit) + " tail"), (1, "x " + " ".join(mit[:40] + ["new", "words"] + mit[45:]) + " y"),
             (2, " ".join(mit[:50])), (3, "Released under the BSD License."), (4, "Licensed under the apache license version 2.0 " * 2),
-            (5, "nothing at all"), *((100 + i, f"before {t} after") for i, (_, t) in enumerate(TEMPLATES))]
+            (5, "nothing at all"), *((100 + i, f"before {t} after") for i, (_, t, _) in enumerate(TEMPLATES))]
     df = brute.awkward(spark, rows)
     found = collections.defaultdict(list)
     text = dict(rows)
@@ -130,12 +131,56 @@ def test_licences(spark):
     assert found[1][0][0] == "MIT" and 0.9 < found[1][0][1] < 1
     assert [x[0] for x in found[4]] == ["Apache-2.0-notice"] * 2
     assert not found[2] and not found[3] and not found[5]
-    for i, (name, _) in enumerate(TEMPLATES):
+    for i, (name, *_) in enumerate(TEMPLATES):
         assert [(x[0], x[1]) for x in found[100 + i]] == [(name, 1.0)]
     assert not [k for k in found if k is None or k > 900_000]
     assert licenses.find_licenses(brute.empty(spark), "doc_id", "text").collect() == []
 
 
+def test_licences_that_differ_in_a_word_are_told_apart(spark):
+    texts = {n: t for n, t, _ in TEMPLATES}
+    rows = {"AGPL-3.0-header": texts["AGPL-3.0-header"], "GPL-2.0-header": texts["GPL-2.0-header"], "LGPL-2.1-header": texts["LGPL-2.1-header"],
+            "BSD-3-Clause-excerpt": texts["BSD-3-Clause-excerpt"], "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+            "CC-BY-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+            "MIT-excerpt": " ".join(texts["MIT"].split()[:130]),
+            "": texts["GPL-3.0-header"].replace("version 3", "version 1"),
+            None: "This work is licensed under a Creative Commons Attribution 3.0 International License."}
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(rows.values())], "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in licenses.find_licenses(df, "doc_id", "text").collect():
+        found[r["doc_id"]].append(r["license"])
+    for i, name in enumerate(rows):
+        assert found[i] == ([name] if name else []), (name, found[i])
+
+
+def plain_local(template, words):
+    """Most score (and its matches) of a local alignment, over all cells."""
+    best = (0, 0)
+    row = [(0, 0)] * (len(words) + 1)
+    for a in template:
+        new = [(0, 0)]
+        for j, b in enumerate(words):
+            step = (row[j][0] + (2 if a == b else -1), row[j][1] + (a == b))
+            top = max(step, (row[j + 1][0] - 1, row[j + 1][1]), (new[j][0] - 1, new[j][1]))
+            new.append(top if top[0] > 0 else (0, 0))
+            best = max(best, new[-1])
+        row = new
+    return best
+
+
+def test_banded_alignment_matches_all_cells():
+    rng = random.Random(12)
+    for _ in range(60):
+        template = [rng.randint(1, 9) for _ in range(rng.randint(3, 25))]
+        words = [w for w in template if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 3)):
+            words.insert(rng.randint(0, len(words)), rng.randint(1, 9))
+        words = [rng.randint(10, 19) for _ in range(rng.randint(0, 6))] + words + [rng.randint(10, 19) for _ in range(rng.randint(0, 6))]
+        (matched, first, last), = licenses.banded([np.array(template, np.uint64)], np.array(words, np.uint64), [(0, len(words))], [(-len(template), len(words))])
+        assert matched == plain_local(template, words)[1]
+        assert plain_local(template, words[first:last]) == plain_local(template, words)
+
+
 def test_pipeline_stages_follow_each_other(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

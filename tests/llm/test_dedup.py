@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from grantlens.llm import jaccard, substring_dedup
 from tests.llm import brute
@@ -104,6 +105,15 @@ def test_hot_anchors_take_the_joined_way(spark, monkeypatch):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string"))[1] == brute.repeats_removed(rows)
 
 
+def test_many_rows_of_one_id_gather_no_spans_twice(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").unionByName(
+        spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(f"own {text} end").alias("text")))
+    out = substring_dedup.remove_duplicates(df)
+    rows = out.groupBy("doc_id", "n_words", "n_removed", F.size("factors").alias("factors")).count().collect()
+    assert sorted(map(tuple, rows)) == [(1, 40, 0, 0, 1), (7, 42, 40, 1, 3000)]
+
+
 def thue_morse(n, a="a", b="b"):
     """Two different texts of n letters whose polynomial hashes modulo 2**64 are equal for every odd base."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
