@@ -37,8 +37,11 @@ MODEL_SPECS = {
     "Gradient Boosting": ModelSpec("Gradient Boosting", scaled=False),
     "Red MLP": ModelSpec("Red MLP", scaled=True),
 }
-#: Split candidates per feature: more than the municipality codes of the reference's data (984).
+#: Split candidates per feature of the boosted trees: more than the municipality codes of the reference's data (984).
 MAX_BINS = 1024
+#: Those of the forest.  Municipalities in the order of their rate are the feature hist_ap, so their codes need no bin
+#: each; with fewer bins and this memory all open nodes of a level are counted in one pass.
+FOREST_BINS, FOREST_MEMORY_MB = 128, 1024
 #: Most steps of a walk back into the range of a permutation.
 WALK = 64
 # The serving threshold and the MLP's training threshold.
@@ -70,7 +73,8 @@ def estimator(name: str, n_train_weight: float | None = None, seed: int = 42,
                                   standardization=False)
     if name == "Random Forest":
         return RandomForestClassifier(featuresCol="features", labelCol="label",
-                                      numTrees=iterations or 20, maxDepth=30, maxBins=MAX_BINS,
+                                      numTrees=iterations or 20, maxDepth=30, maxBins=FOREST_BINS,
+                                      maxMemoryInMB=FOREST_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10,
                                       featureSubsetStrategy="sqrt", seed=seed)
     if name == "XGBoost":
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=iterations or 100,

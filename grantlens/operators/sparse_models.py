@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.plans.materialize import release, written
-from grantlens.session import broadcast_if_small
 
 #: Steps that L-BFGS remembers, most passes, and the relative gain from which on it stops.
 MEMORY, MOST_STEPS, LEAST_GAIN = 5, 30, 1e-4
