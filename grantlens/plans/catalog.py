@@ -368,6 +368,14 @@ def q_year_sequences(spark, sf_dir):
                                      min_years=SEQ_MIN_YEARS)
 
 
+@query("month_sequences")
+def q_month_sequences(spark, sf_dir):
+    """W2 in its full form, 8 of at least 10 observed periods, on months (the fixture spans too few years for it)."""
+    apps = _apps(spark, sf_dir).where(F.col("Municipio").isNotNull())
+    series = apps.groupBy("Municipio", F.round(F.col("Anio_real") * 12.0).cast("int").alias("mes")).agg(F.sum("Hogares").alias("hogares"))
+    return timeseries.year_sequences(series, year="mes", window=8, min_years=10)
+
+
 @query("regression_metrics")
 def q_regression_metrics(spark, sf_dir):
     """T2 on the persistence forecast of the year sequences."""

@@ -606,6 +606,20 @@ FROM ser WINDOW w AS (PARTITION BY Municipio ORDER BY Anio_int ROWS BETWEEN 4 PR
 
 oracle("year_sequences")(SERIES + "SELECT * FROM seqs")
 
+oracle("month_sequences")("""
+, ser AS (
+  SELECT Municipio, CAST(round(Anio_real * 12.0) AS INT) AS mes, CAST(sum(Hogares) AS BIGINT) AS hogares
+  FROM apps WHERE Municipio IS NOT NULL GROUP BY 1, 2
+),
+seq AS (
+  SELECT Municipio, mes, count(*) OVER (PARTITION BY Municipio) AS _n, row_number() OVER w AS _i,
+         """ + ", ".join(f"CAST(lag(hogares, {9 - i}) OVER w AS DOUBLE) AS x{i}" for i in range(1, 9)) + """,
+         CAST(hogares AS DOUBLE) AS y
+  FROM ser WINDOW w AS (PARTITION BY Municipio ORDER BY mes)
+)
+SELECT Municipio, mes, """ + ", ".join(f"x{i}" for i in range(1, 9)) + """, y FROM seq WHERE _n >= 10 AND _i > 8
+""")
+
 oracle("regression_metrics")(SERIES + """
 SELECT count(*) AS n, round(avg(abs(y - x3)), 6) AS mae,
        round(1.0 - sum((y - x3) * (y - x3)) / (var_pop(y) * count(*)), 6) AS r2
