@@ -43,10 +43,10 @@ def weighted_documents(docs: DataFrame, keys=("label", "split"), terms: str = "t
 
 def inverse_frequencies(train: DataFrame) -> DataFrame:
     """(term, idf) of weighted documents: ln((1 + documents) / (1 + documents with the term))."""
-    total = train.agg(F.sum("weight").alias("n"))
+    total = train.agg(F.sum("weight")).scalar()
     held = train.select(F.explode_outer("tfs.term").alias("term"), "weight").where(F.col("term").isNotNull())
-    return (held.groupBy("term").agg(F.sum("weight").alias("df")).crossJoin(F.broadcast(total))  # one row
-            .select("term", F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))).alias("idf")))
+    return held.groupBy("term").agg(F.sum("weight").alias("df")).select(
+        "term", F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))).alias("idf"))
 
 
 def valued_terms(documents: DataFrame, idf: DataFrame, keep=("label", "weight")) -> DataFrame:

@@ -101,9 +101,9 @@ def fit_topics(docs: DataFrame, k: int = 7, terms: str = "tokens", seed: int = 4
     def shares(table: DataFrame) -> DataFrame:
         """(term, share): every topic's share of the term, from the counts."""
         real = table.where("term is not null")
-        totals = real.agg(F.count(F.lit(1)).alias("v"), F.array(*(F.sum(F.get("c", F.lit(j))) for j in range(k))).alias("all"))  # one row
+        terms, mass = real.agg(F.count(F.lit(1))).scalar(), real.agg(F.array(*(F.sum(F.get("c", F.lit(j))) for j in range(k)))).scalar()
         share = F.zip_with("c", "all", lambda c, n: (c + F.lit(eta)) / (n + F.col("v") * F.lit(eta)))
-        return real.crossJoin(F.broadcast(totals)).select("term", share.alias("share"))
+        return real.select("term", "c", terms.alias("v"), mass.alias("all")).select("term", share.alias("share"))
 
     def gathered(table: DataFrame) -> DataFrame:
         return (held.join(shares(table), "term").groupBy("gid", "weight")

@@ -42,9 +42,8 @@ def mutual_information(counts: DataFrame) -> DataFrame:
     """(term, near, m): the positive pointwise mutual information, zeros left out."""
     of = counts.groupBy("term").agg(F.sum("n").alias("of_term"))
     near = of.select(F.col("term").alias("near"), F.col("of_term").alias("of_near"))
-    total = of.agg(F.sum("of_term").alias("total"))  # one row
-    m = F.log(F.col("n") * F.col("total") / (F.col("of_term") * F.col("of_near")))
-    return counts.join(of, "term").join(near, "near").crossJoin(F.broadcast(total)).select("term", "near", m.alias("m")).where("m > 0")
+    m = F.log(F.col("n") * of.agg(F.sum("of_term")).scalar() / (F.col("of_term") * F.col("of_near")))
+    return counts.join(of, "term").join(near, "near").select("term", "near", m.alias("m")).where("m > 0")
 
 
 def _literal(matrix: np.ndarray) -> Column:
