@@ -11,7 +11,7 @@ ever on the driver or in one task:
   gradient per term, and only the products of those columns with each other
   (a few dozen numbers) and the intercept come to the driver.
 
-A pass joins the weights to the terms (broadcast if they are measured small),
+A pass joins the weights to the terms (Spark broadcasts their file if it is small),
 sums the margin per document, and sums residual times value per term after a
 map-side aggregate, so a term of every document is one row per task.  Each new
 state is written to the shared folder and the one before is removed.
