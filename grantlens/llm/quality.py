@@ -14,7 +14,8 @@ rows read through a scalar subquery: they do not pass through Python.
 Nothing in the verdict depends on the size of the corpus: the target's rates
 are mixed with the corpus's in the fixed share ``MIXED``, and the threshold
 comes from labelled documents that the target leaves out (one text in
-``HELD_OUT``, by the hash of the text, so copies stay on one side).
+``HELD_OUT``, by the hash of the text, so copies stay on one side).  Every
+label counts, for the target or for the threshold.
 
 ``let`` binds a value to a lambda variable, because Catalyst would otherwise
 compute an expression again for each element of a lambda that uses it.
@@ -41,8 +42,8 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 BUCKETS = 1 << 16
-#: Good labels that make up the trusted target at most (those of the smallest hash of the key).
-TARGET_LABELS = 100_000
+#: Keys of labels that are broadcast to the documents at most; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 #: Parts of the corpus's rates that are mixed into one part of the target's.
 MIXED = 1.0
 #: One labelled text in so many sets the threshold and is not in the target.
@@ -109,10 +110,14 @@ def measures(df: DataFrame, key: str, text: str) -> DataFrame:
              repeated_words(h).cast("long").alias("n_repeat_words"))
 
 
-def labelled(labels: DataFrame, label_key: str, condition: Column, limit: int) -> DataFrame:
-    """The keys (of the smallest hash) of the labels under a condition."""
-    return (labels.where(condition & F.col(label_key).isNotNull()).select(F.col(label_key).alias("key")).distinct()
-            .orderBy(F.xxhash64("key"), "key").limit(limit))
+def labelled(labels: DataFrame, label_key: str, condition: Column) -> DataFrame:
+    """The different keys of all labels under a condition."""
+    return labels.where(condition & F.col(label_key).isNotNull()).select(F.col(label_key).alias("key")).distinct()
+
+
+def to_join(keys: DataFrame) -> DataFrame:
+    """``keys`` as the side of a join with documents: labels grow with the corpus, so it is counted first."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_LABELS else keys
 
 
 def is_held_out() -> Column:
@@ -125,11 +130,10 @@ def bucket_weights(df: DataFrame, key: str, text: str, labels: DataFrame, label_
 
     p_target is a mixture with ``mixed`` parts of p_raw, and held-out texts are not in the target.
     """
-    target = labelled(labels, label_key, good, TARGET_LABELS).withColumn("good", F.lit(1))
+    target = to_join(labelled(labels, label_key, good).withColumn("good", F.lit(1)))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # At most TARGET_LABELS rows are broadcast, whatever the corpus holds.
     own = F.coalesce("good", F.lit(0))
-    flagged = ensure_parallelism(rows).join(F.broadcast(target), "key", "left").select(
+    flagged = ensure_parallelism(rows).join(target, "key", "left").select(
         F.when(is_held_out(), F.lit(0)).otherwise(own).alias("good"),
         buckets_of(hashes_of(words_of(F.col("text"))), buckets).alias("b"))
     counts = (flagged.select("good", F.explode_outer("b").alias("b")).where(F.col("b").isNotNull())
@@ -168,10 +172,10 @@ def threshold_of(df: DataFrame, key: str, text: str, weights: DataFrame, labels:
     above, but not under the middle between good and bad unless good documents lie there themselves.  Without
     held-out good documents those of the target stand for them, and without labels all scores are 0, which pass.
     """
-    some = labelled(labels, label_key, good, TARGET_LABELS).withColumn("good", F.lit(True)).unionByName(
-        labelled(labels, label_key, bad, TARGET_LABELS).withColumn("good", F.lit(False)))
+    some = to_join(labelled(labels, label_key, good).withColumn("good", F.lit(True)).unionByName(
+        labelled(labels, label_key, bad).withColumn("good", F.lit(False))))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = ensure_parallelism(rows).join(F.broadcast(some), "key").select(
+    found = ensure_parallelism(rows).join(some, "key").select(
         "good", is_held_out().alias("out"), hashes_of(words_of(F.col("text"))).alias("hashes")).where(F.size("hashes") >= MIN_WORDS)
     scored = with_weights(found, weights).select("good", "out", mean_ratio(F.col("weights"), F.col("hashes")).alias("r"))
     by = {(x["good"], x["out"]): x for x in scored.groupBy("good", "out").agg(

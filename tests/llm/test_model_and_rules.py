@@ -107,6 +107,28 @@ def test_threshold_matches_scores_by_hand(spark, monkeypatch, case):
     assert got == pytest.approx(want, abs=2e-9)
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 40])
+def test_every_label_counts_however_many_there_are(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", broadcast, raising=False)
+    monkeypatch.setattr(quality, "MIN_WORDS", 3)
+    monkeypatch.setattr(quality, "HELD_OUT", 2)
+    monkeypatch.setattr(quality.buckets_of, "__defaults__", (8,))
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcdef" if i % 3 else "defghi") for _ in range(rng.randint(3, 30)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # Most labels are of documents that lie elsewhere; they change nothing.
+    many = spark.range(600_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, 1).otherwise(0).alias("quality"))
+    good, bad = F.col("quality") == 1, F.col("quality") == 0
+
+    def model(labels):
+        weights = quality.bucket_weights(df, "doc_id", "text", labels, "doc_id", good, 8)
+        return weights.first()["weights"], quality.threshold_of(df, "doc_id", "text", weights, labels, "doc_id", good, bad)
+
+    want, least = model(many.where("doc_id < 90"))
+    got, threshold = model(many)
+    assert got == pytest.approx(want, abs=1e-12) and threshold == pytest.approx(least, abs=2e-9) and any(want)
+
+
 def test_quality_tells_labelled_documents_apart(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = quality.op9_quality(spark, "/root/testdata/sf0.1").where("not base_failed").join(labels, "doc_id")
