@@ -193,3 +193,24 @@ def test_permutation_importance_one_pass_equals_per_feature(spark):
         assert abs(got[c] - want) < 1e-12, c
     # Signal lives in the first three features: permuting them costs AUC.
     assert min(got[c] for c in FEATURES[:3]) < max(got[c] for c in FEATURES[3:])
+
+
+def test_forest_counts_of_all_cores_fit_in_a_small_executor(spark):
+    """Spark holds one group of nodes per running task, in half as many bytes again as the estimator's figure."""
+    mb = models.estimator("Random Forest").getMaxMemoryInMB()
+    small_heap_mb, cores = 1800, 4
+    assert 1.5 * mb * cores < small_heap_mb / 4
+
+
+def test_forest_grows_whole_trees_when_a_level_takes_many_passes(spark, monkeypatch):
+    rows = [(i, *(float((i * p) % 997) for p in range(3, 3 + len(features.FEATURES))), (i * i // 7) % 2) for i in range(1500)]
+    df = spark.createDataFrame(rows, "app_id long, " + ", ".join(f"{c} double" for c in features.FEATURES) + ", Aprobado int")
+
+    def grown():
+        m = models.fit("Random Forest", df, {}, iterations=3)
+        return m.stages[-1].totalNumNodes, models.score(m, df).where("prediction = Aprobado").count()
+
+    nodes, right = grown()
+    monkeypatch.setattr(models, "FOREST_MEMORY_MB", 1)  # about 128 nodes in a pass
+    few_nodes, few_right = grown()
+    assert few_nodes > 0.85 * nodes and few_right > 0.9 * right
