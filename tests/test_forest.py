@@ -36,23 +36,16 @@ def _rows(spark, n=1500):
 
 
 def _checked(model):
-    """Every child's counts make up its parent's, every inner node gains, and no two sibling leaves agree."""
-    parts = {}
-    for r in model.nodes.collect():
-        parts.setdefault(r["tree"], []).append(r)
-    for rows in parts.values():
-        at = np.concatenate([r["at"] + np.arange(r["n"]) for r in rows])
-        assert sorted(at.tolist()) == list(range(len(at)))
-        whole = {}
-        for c in ("feature", "lo", "hi", "counts", "gain"):
-            whole[c] = np.concatenate([np.frombuffer(r[c], forest.ARRAYS[c]).reshape(r["n"], -1) + (
-                r["at"] * (np.frombuffer(r[c], forest.ARRAYS[c]).reshape(r["n"], -1) >= 0) if c in ("lo", "hi") else 0) for r in rows])[np.argsort(at)]
-        lo, hi, counts = whole["lo"][:, 0], whole["hi"][:, 0], whole["counts"]
+    """Every child's counts make up its parent's, and no two sibling leaves agree."""
+    trees = model.arrays()
+    assert sum(len(t[0]) for t in trees) == model.totalNumNodes
+    for feature, _, lo, counts in trees:
         inner = np.flatnonzero(lo >= 0)
-        assert sorted(np.concatenate((lo[inner], hi[inner])).tolist()) == list(range(1, len(at)))
-        assert (counts[lo[inner]] + counts[hi[inner]] == counts[inner]).all() and (whole["gain"][inner] > 0).all()
-        same = counts[lo[inner]].argmax(axis=1) == counts[hi[inner]].argmax(axis=1)
-        assert not ((lo[lo[inner]] < 0) & (lo[hi[inner]] < 0) & same).any()
+        left = lo[inner]
+        assert sorted(np.concatenate((left, left + 1)).tolist()) == list(range(1, len(lo))) and ((feature >= 0) == (lo >= 0)).all()
+        assert (counts[left] + counts[left + 1] == counts[inner]).all()
+        same = counts[left].argmax(axis=1) == counts[left + 1].argmax(axis=1)
+        assert not ((lo[left] < 0) & (lo[left + 1] < 0) & same).any()
 
 
 @pytest.mark.parametrize("rows_per_mb", [4096, 2])
@@ -76,7 +69,8 @@ def test_the_forest_is_whole_whether_grown_in_passes_or_in_one_task(spark, monke
     assert a == b and len(a) == 1500
     # Votes by hand: each tree adds the shares of the leaf of the row.
     v = np.array([[float((i * p) % 997) for p in range(3, 3 + len(features.FEATURES))] for i in range(20)])
-    share = sum(t[-1][forest.leaves(v, t)] for t in model.arrays())[:, 1] / 3
+    x = forest.binned_rows(v, model.thresholds)
+    share = sum(c[:, 1] / c.sum(axis=1) for c in (t[-1][forest.leaves(x, t)] for t in model.arrays())) / 3
     assert all(abs(a[i][0] - share[i]) < 1e-12 for i in range(20))
 
 
